@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, imatch, langid, pieces, quality, urlrules
+from corpusmill.llm import decontaminate, imatch, jaccard, langid, pieces, quality, urlrules
 from corpusmill.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_importance_resampling": op2_importance_resampling,
     "op3_imatch": op3_imatch,
     "op8_url_rules": op8_url_rules,
+    "op6_jaccard": op6_jaccard,
     "op7_decontamination": op7_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,

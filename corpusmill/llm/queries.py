@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, imatch, jaccard, langid, pieces, quality, sharding, urlrules, warc
+from corpusmill.llm import decontaminate, imatch, jaccard, langid, pieces, quality, sharding, substrings, urlrules, warc
 from corpusmill.llm.shared import new_path, table
 
 
@@ -16,6 +16,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_passages": op4_passages,
     "op5_warc": op5_warc,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_imatch": op3_imatch,

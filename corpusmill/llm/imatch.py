@@ -26,6 +26,9 @@ LOW, HIGH = 1e-3, 0.1
 FEWEST = 5
 RATES, PER_RATE = 10, 4
 _EMPTY = "00000000"
+#: Subset s of rate r keeps the terms whose hash, mixed with the subset's number, begins with r zero bits.
+_SUBSETS = np.array([0xA5A5A5A5 * n + 1 for n in range(PER_RATE, (RATES + 1) * PER_RATE)], dtype=np.uint64)
+_SHIFTS = np.repeat(np.arange(63, 63 - RATES, -1), PER_RATE).astype(np.uint64)
 
 
 def _terms(column) -> Iterator[np.ndarray]:
@@ -71,11 +74,9 @@ def fingerprint(terms: np.ndarray, lex: np.ndarray) -> str:
         banded = terms[lex[at] == terms]
         terms = banded if len(banded) >= FEWEST else terms
     out = []
-    for r in range(1, RATES + 1):
-        for s in range(PER_RATE):
-            lot = mix(terms ^ np.uint64(0xA5A5A5A5 * (r * PER_RATE + s) + 1))
-            own = terms[(lot >> np.uint64(64 - r)) == 0]
-            out.append(hashlib.blake2b(own.tobytes(), digest_size=4).hexdigest() if len(own) else _EMPTY)
+    for chosen in (mix(terms[None, :] ^ _SUBSETS[:, None]) >> _SHIFTS[:, None]) == 0:
+        own = terms[chosen]
+        out.append(hashlib.blake2b(own.tobytes(), digest_size=4).hexdigest() if len(own) else _EMPTY)
     return "".join(out)
 
 

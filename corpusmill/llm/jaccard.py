@@ -30,6 +30,7 @@ FREQUENT, MAX_FREQUENT = 8, 200_000
 LEADERS = (0x0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x3C6EF372FE94F82B)
 BLOCK = 256
 MARK_BITS = 1 << 23
+SKETCH = 1024
 _PRIME = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -42,10 +43,15 @@ def _sets(column) -> Iterator[np.ndarray]:
             yield np.unique(h[a:b])
 
 
+def _parity(s: np.ndarray) -> list[int]:
+    """SKETCH bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.int64).tolist()
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a row for each document, with a 128-bit signature of its set; kind 1: frequent shingles of the task."""
     held, size = [], 0
-    names = ["kind", "doc_id", "n", "hi", "lo"]
+    names = ["kind", "doc_id", "n", "hi", "lo", "sketch"]
 
     def merged(least):
         k = np.concatenate([x for x, _ in held])
@@ -57,8 +63,9 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return k[keep], c[keep]
 
     for batch in batches:
-        n, hi, lo = [], [], []
+        n, hi, lo, sketch = [], [], [], []
         for s in _sets(batch.column(1)):
+            sketch.append(_parity(s))
             n.append(len(s))
             hi.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
             lo.append(int((mix(s * _PRIME) ^ (s << np.uint64(7))).sum(dtype=np.uint64).view(np.int64)))
@@ -67,10 +74,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 4_000_000:
                 held = [merged(2)]
                 size = len(held[0][0])
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=names)
     if held:
         k, c = merged(FREQUENT)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(as_long(k)), pa.array([0] * len(k), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(as_long(k)), pa.array([0] * len(k), pa.int64()), pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
 
 
 def lead(n: int, c: int) -> int:
@@ -176,7 +183,7 @@ def joined(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    first = saved(docs.mapInArrow(_sizes, "kind int, doc_id long, n long, hi long, lo long"), "jaccard-sizes")
+    first = saved(docs.mapInArrow(_sizes, "kind int, doc_id long, n long, hi long, lo long, sketch array<long>"), "jaccard-sizes")
     sizes = first.where("kind = 0")
     top = first.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hi").limit(MAX_FREQUENT).toArrow()
     known, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
@@ -192,6 +199,10 @@ def joined(documents: DataFrame) -> DataFrame:
     shared = saved(rows.join(lists, "key"), "jaccard-lists")
     leaders = F.array_distinct(F.array(*[f"l{i}" for i in range(len(LEADERS))]))
     stars = shared.select("doc", F.explode(leaders).alias("other")).where("doc <> other").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    a, b = (sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # A Jaccard of 3/4 or more means that at most (na + nb) / 7 shingles differ.
+    stars = stars.join(a, "a").join(b, "b").where(7 * differ <= F.col("na") + F.col("nb")).select("a", "b")
     stars = saved(stars, "jaccard-stars")
     open_lists = shared.where(F.col("members") > F.size(leaders) + 1)
     needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(open_lists.select("doc")).distinct()
@@ -203,7 +214,7 @@ def joined(documents: DataFrame) -> DataFrame:
     more = _open_links(open_lists, comp, sets)
     comp = components(links.union(more))
     reps = sizes.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    out = sizes.join(reps, ["hi", "lo", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    out = sizes.drop("sketch").join(reps, ["hi", "lo", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     # Rows of equal doc_id with different texts: their components are one.
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

@@ -30,7 +30,7 @@ FREQUENT, MAX_FREQUENT = 8, 200_000
 LEADERS = (0x0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x3C6EF372FE94F82B)
 BLOCK = 256
 MARK_BITS = 1 << 23
-SKETCH = 1024
+SKETCH, WIDE = 1024, 256
 _PRIME = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -40,7 +40,8 @@ def _sets(column) -> Iterator[np.ndarray]:
     for i, j in chunks(offsets):
         h, bounds = shingles(words(data, offsets, i, j, SPACED), K)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield np.unique(h[a:b])
+            s = np.sort(h[a:b])
+            yield s[np.append(True, s[1:] != s[:-1])] if len(s) > 1 else s
 
 
 def _parity(s: np.ndarray) -> list[int]:
@@ -48,10 +49,42 @@ def _parity(s: np.ndarray) -> list[int]:
     return np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.int64).tolist()
 
 
+def _wide(s: np.ndarray) -> bytes:
+    """A parity sketch of as many bits as the set has shingles, rounded up to a power of two; WIDE at least. Its halves
+    folded on each other are the sketch of half as many bits, since bits are numbered by the hash's upper bits last."""
+    bits = max(WIDE, 1 << int(len(s) - 1).bit_length()) if len(s) else WIDE
+    at = (mix(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (the last axis: bytes) folded to size bytes."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which rows of y, sets of sizes m, may link with x, a set of size n: at a Jaccard of 3/4 or more at most a seventh of both
+    sizes together differs, and sketches differ in no more places than sets."""
+    size = min(x.shape[-1], y.shape[-1])
+    differ = np.bitwise_count(_fold(y, size) ^ _fold(x, size)).sum(axis=-1, dtype=np.int64)
+    return (7 * differ <= n + m) & (4 * n >= 3 * m) & (4 * m >= 3 * n)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, na, nb, wa, wb), those whose sketches allow a link."""
+    for batch in batches:
+        _, _, na, nb, wa, wb = (c.to_pylist() for c in batch.columns)
+        keep = [bool(_may_link(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8)[None, :], np.array([m]))[0]) for n, m, x, y in zip(na, nb, wa, wb, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a row for each document, with a 128-bit signature of its set; kind 1: frequent shingles of the task."""
     held, size = [], 0
-    names = ["kind", "doc_id", "n", "hi", "lo", "sketch"]
+    names = ["kind", "doc_id", "n", "hi", "lo", "sketch", "wide"]
 
     def merged(least):
         k = np.concatenate([x for x, _ in held])
@@ -63,9 +96,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return k[keep], c[keep]
 
     for batch in batches:
-        n, hi, lo, sketch = [], [], [], []
+        n, hi, lo, sketch, wide = [], [], [], [], []
         for s in _sets(batch.column(1)):
             sketch.append(_parity(s))
+            wide.append(_wide(s))
             n.append(len(s))
             hi.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
             lo.append(int((mix(s * _PRIME) ^ (s << np.uint64(7))).sum(dtype=np.uint64).view(np.int64)))
@@ -74,10 +108,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 4_000_000:
                 held = [merged(2)]
                 size = len(held[0][0])
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=names)
     if held:
         k, c = merged(FREQUENT)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(as_long(k)), pa.array([0] * len(k), pa.int64()), pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(as_long(k)), pa.array([0] * len(k), pa.int64()), pa.nulls(len(k), pa.list_(pa.int64())), pa.nulls(len(k), pa.binary())], names=names)
 
 
 def lead(n: int, c: int) -> int:
@@ -183,7 +217,7 @@ def joined(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    first = saved(docs.mapInArrow(_sizes, "kind int, doc_id long, n long, hi long, lo long, sketch array<long>"), "jaccard-sizes")
+    first = saved(docs.mapInArrow(_sizes, "kind int, doc_id long, n long, hi long, lo long, sketch array<long>, wide binary"), "jaccard-sizes")
     sizes = first.where("kind = 0")
     top = first.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hi").limit(MAX_FREQUENT).toArrow()
     known, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
@@ -201,25 +235,42 @@ def joined(documents: DataFrame) -> DataFrame:
     stars = shared.select("doc", F.explode(leaders).alias("other")).where("doc <> other").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
     a, b = (sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
     differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    # A Jaccard of 3/4 or more means that at most (na + nb) / 7 shingles differ.
-    stars = stars.join(a, "a").join(b, "b").where(7 * differ <= F.col("na") + F.col("nb")).select("a", "b")
-    stars = saved(stars, "jaccard-stars")
-    open_lists = shared.where(F.col("members") > F.size(leaders) + 1)
-    needed = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(open_lists.select("doc")).distinct()
-    sets = saved(_sets_of(docs, needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-sets")
+    # A Jaccard of 3/4 or more means that at most (na + nb) / 7 shingles differ, and that sizes are alike.
+    alike = (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na"))
+    stars = saved(stars.join(a, "a").join(b, "b").where(alike & (7 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "jaccard-stars")
+    wide = sizes.where("n > 2 and doc_id is not null").select("doc_id", "n", "wide")
+    pairs = stars.join(wide.select(F.col("doc_id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("doc_id").alias("b"), F.col("wide").alias("wb")), "b")
+    pairs = saved(pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long"), "jaccard-pairs")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = saved(_sets_of(docs, needed), "jaccard-sets")
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    links = saved(stars.join(b, "b").join(a, "a").where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "jaccard-links")
+    links = saved(pairs.join(b, "b").join(a, "a").where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "jaccard-links")
     comp = components(links)
-    more = _open_links(open_lists, comp, sets)
+    open_lists = shared.where(F.col("members") > F.size(leaders) + 1)
+    more = _open_links(open_lists, comp, wide, docs)
     comp = components(links.union(more))
     reps = sizes.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    out = sizes.drop("sketch").join(reps, ["hi", "lo", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    out = sizes.drop("sketch", "wide").join(reps, ["hi", "lo", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     # Rows of equal doc_id with different texts: their components are one.
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _open_links(open_lists: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_members(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that may link with a row of the other side in another component, by their sketches."""
+    left, right = part[part.side == 0], part[part.side == 1]
+    out = []
+    if len(left) and len(right):
+        by_size = {k: (np.frombuffer(b"".join(r.wide), np.uint8).reshape(len(r), k), r.n.to_numpy(), r.comp.to_numpy(), r.index.to_numpy()) for k, r in right.groupby(right.wide.map(len))}
+        for at, x, n, comp in zip(left.index, left.wide, left.n, left.comp, strict=True):
+            for k, (y, m, comps, index) in by_size.items():
+                if 2 * k >= len(x) and k <= 2 * len(x):
+                    found = index[_may_link(np.frombuffer(x, np.uint8), n, y, m) & (comps != comp)]
+                    out += [at, *found.tolist()] if len(found) else []
+    return part.loc[sorted(set(out)), ["g", "i", "j", "side", "doc", "comp"]]
+
+
+def _open_links(open_lists: DataFrame, comp: DataFrame, wide: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join components, among the lists whose pairs were not all compared with leaders.
 
     Lists with the same first leader are taken together (a document is then in few of them). Members outside the main
@@ -233,5 +284,8 @@ def _open_links(open_lists: DataFrame, comp: DataFrame, sets: DataFrame) -> Data
     spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("long")
     left = m.where("comp <> main").select("g", "doc", "comp", spot("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     right = m.select("g", "doc", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("i"), spot("right_blocks").alias("j"), F.lit(1).alias("side"))
-    dealt = left.union(right).join(sets.withColumnRenamed("doc_id", "doc"), "doc")
-    return saved(dealt.groupBy("g", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")
+    dealt = left.union(right).join(wide.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]), "doc")
+    # Sketches first; the sets of those documents alone that they leave are dealt.
+    kept = saved(dealt.groupBy("g", "i", "j").applyInPandas(_block_members, "g long, i long, j long, side int, doc long, comp long"), "jaccard-dealt")
+    sets = _sets_of(docs, kept.select(F.col("doc").alias("doc_id"))).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
+    return saved(kept.join(sets, "doc").groupBy("g", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")

@@ -29,6 +29,8 @@ K = 5
 FREQUENT, MAX_FREQUENT = 8, 200_000
 LEADERS = (0x0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x3C6EF372FE94F82B)
 BLOCK = 256
+#: Rows of a hot list are dealt to so many tasks where they meet what is known of the list.
+SALTS = 32
 MARK_BITS = 1 << 23
 SKETCH, WIDE = 1024, 256
 _PRIME = np.uint64(0x9FB21C651E98DF25)
@@ -280,7 +282,8 @@ def _open_links(open_lists: DataFrame, comp: DataFrame, wide: DataFrame, docs: D
     per = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("n", "comp")).alias("m"))
     main = main.where("kinds > 1").select("g", F.col("m.comp").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / BLOCK).alias("left_blocks"), F.ceil(F.col("total") / BLOCK).alias("right_blocks"))
-    m = members.join(main, "g")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    m = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS).cast("long"))).join(main.select("*", salts), ["g", "salt"]).drop("salt")
     spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("long")
     left = m.where("comp <> main").select("g", "doc", "comp", spot("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     right = m.select("g", "doc", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("i"), spot("right_blocks").alias("j"), F.lit(1).alias("side"))

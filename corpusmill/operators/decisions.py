@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,7 +24,7 @@ def decision(score: Column, country: Column, partial: Column) -> Column:
 
 
 def complexity(points: Column) -> Column:
-    return F.when(points <= 3, "simple").when(points <= 6, "medium").otherwise("complex")
+    return F.when(points <= 3, "simple").when(points <= 6, "complique").otherwise("complexe")
 
 
 def criterion_notes(answers: DataFrame) -> DataFrame:
@@ -31,3 +32,13 @@ def criterion_notes(answers: DataFrame) -> DataFrame:
     a = answers.groupBy("criterion").agg(F.count("*").alias("total"), F.count("note").alias("documented"), F.avg("note").alias("mean"), F.stddev_pop("note").alias("spread"))
     enough = F.col("documented") >= 0.5 * F.col("total")
     return a.select("criterion", "total", "documented", F.when(enough, F.col("mean")).alias("note"), ((F.col("documented") >= 2) & (F.col("spread") > 1.0)).alias("ambiguous"))
+
+
+def normalised(weights: DataFrame, group: str, key: str, weight: str) -> DataFrame:
+    """group, key, cents: whole weights as hundredths of a percent of their group, halves up; the first of the largest takes what
+    is missing to 10000."""
+    w, total = F.col(weight), F.sum(weight).over(W.partitionBy(group))
+    c = weights.withColumn("_t", total).withColumn("cents", F.expr(f"(2 * {weight} * 10000 + _t) div (2 * _t)"))
+    first = F.row_number().over(W.partitionBy(group).orderBy(F.desc("cents"), key)) == 1
+    rest = F.lit(10000) - F.sum("cents").over(W.partitionBy(group))
+    return c.where(w.isNotNull()).select(group, key, (F.col("cents") + F.when(first, rest).otherwise(0)).alias("cents"))

@@ -32,3 +32,17 @@ def fused(by_vector: DataFrame, by_words: DataFrame, rules: Rules = DEFAULT) ->
     w = by_words.select("query_id", "segment_id", F.col("rank").alias("rw"))
     part = lambda c: F.coalesce(1.0 / (rules.rrf_k + F.col(c)), F.lit(0.0))
     return v.join(w, ["query_id", "segment_id"], "full").select("query_id", "segment_id", (part("rv") + part("rw")).alias("score"))
+
+
+def metrics(questions: DataFrame, sent: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row of means, each over its own questions (NULL if there are none): recall, hit rate and reciprocal rank over questions with
+    gold, precision over those with extracts, the share without extracts over those without gold."""
+    hits = sent.join(gold, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count("*").alias("sent"), F.count("relevant").alias("found"), F.min(F.when(F.col("relevant"), F.col("place"))).alias("first"))
+    q = questions.join(hits, "item_id", "left").join(gold.groupBy("item_id").agg(F.count("*").alias("quotes")), "item_id", "left").fillna(0, ["sent", "found", "quotes"])
+    known = F.col("quotes") > 0
+    mean = lambda where, what, name: F.round(F.avg(F.when(where, what)), 6).alias(name)
+    return q.agg(
+        F.count("*").alias("questions"), mean(known, F.col("found") / F.col("quotes"), "recall"), mean(known, F.col("first").isNotNull().cast("int"), "hit_rate"),
+        mean(F.col("sent") > 0, F.col("found") / F.col("sent"), "precision"), mean(known, F.coalesce(1 / F.col("first"), F.lit(0.0)), "mrr"),
+        mean(~known, (F.col("sent") == 0).cast("int"), "empty_rate"), mean(F.lit(True), F.col("sent"), "extracts"),
+    )

@@ -154,8 +154,11 @@ def gold_hits(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("quote"))
     # An item's second to fourth words are a key that every containing text has: an equi-join, then the exact test.
     key = F.array_join(F.slice(F.split(F.trim("quote"), " "), 2, 3), " ")
+    # Made from shifted copies of the words, outside any lambda, so that a text is split a few times and not once a word.
     words = F.split("norm", " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " ")))
+    shifted = lambda i: F.slice(words, i, F.greatest(F.size(words), F.lit(0)))
+    joined = lambda x, y: F.concat_ws(" ", x, y)
+    grams = F.array_distinct(F.zip_with(F.zip_with(words, shifted(2), joined), shifted(3), joined))
     short = F.size(F.split(F.trim("quote"), " ")) < 5
     long = d.select("doc_id", "norm", F.explode(grams).alias("key")).join(b.where(~short).withColumn("key", key), "key").where(F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id").distinct()
     few = d.join(b.where(short), F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id")

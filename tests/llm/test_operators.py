@@ -189,6 +189,49 @@ def test_passages(docs, texts):
     assert all(r.n_chars == len(r.text) for r in kept.values() if r.text is not None)
 
 
+def spans_of(spark, texts):
+    """Spans of the passages found, by document and reference."""
+    out = collections.defaultdict(list)
+    for r in substrings.passages(spark.createDataFrame([(d, t, None, None, 0) for d, t in texts.items()], SCHEMA)).collect():
+        out[r.doc_id, r.ref_doc_id].append((r.start_word, r.end_word))
+    return out
+
+
+def fresh(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def plain_best(found):
+    """Best chain score by trying every predecessor within the gap."""
+    found, score = sorted(map(tuple, found)), []
+    for d, r, n in found:
+        best = n
+        for (e, q, m), s in zip(found, score, strict=False):
+            if e < d and q < r and max(d - e - m, r - q - m) <= substrings.MAX_GAP:
+                best = max(best, n + s - substrings.GAP_COST * (d - e - m + r - q - m))
+        score.append(best)
+    return max(score)
+
+
+def test_passages_long_run_far_before(spark):
+    first, second = fresh("p", 300), fresh("q", 80)
+    edited = [x for k in range(0, 80, 20) for x in (*second[k : k + 20], f"e{k}", f"f{k}")]
+    got = spans_of(spark, {1: " ".join(first + fresh("a", 30) + second), 2: " ".join(first + fresh("c", 100) + edited)})
+    assert any(a <= 400 and b >= 486 for a, b in got[2, 1])
+
+
+def test_chains_against_plain():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        d = np.sort(rng.choice(400, 40, replace=False))
+        found = np.column_stack([d, np.where(rng.random(40) < 0.7, d + rng.integers(-6, 6, 40), rng.integers(0, 400, 40)), rng.integers(5, 30, 40)])
+        score = lambda c: c[:, 2].sum() - substrings.GAP_COST * (np.diff(c[:, :2], axis=0).sum() - 2 * c[:-1, 2].sum())
+        own = substrings.chains(found)
+        assert sum(map(len, own)) == 40 and abs(score(own[0]) - plain_best(found.tolist())) < 1e-6
+
+
 def test_resampling(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.resampled(docs, labels).collect()

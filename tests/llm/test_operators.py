@@ -220,6 +220,21 @@ def test_passages_long_run_far_before(spark):
     assert any(a <= 400 and b >= 486 for a, b in got[2, 1])
 
 
+def covers(spans, a, b):
+    return any(x <= a and y >= b for x, y in spans)
+
+
+def test_passages_edited(spark):
+    """60 words with every sixth replaced."""
+    rows = {}
+    for d in range(40):
+        p = fresh(f"p{d}-", 60)
+        rows[d] = " ".join(p)
+        rows[100 + d] = " ".join(fresh(f"x{d}-", 20) + [f"e{d}-{k}" if k % 6 == 3 else w for k, w in enumerate(p)] + fresh(f"y{d}-", 20))
+    got = spans_of(spark, rows)
+    assert all(any(b - a >= 50 for a, b in got[100 + d, d]) for d in range(40))
+
+
 def test_chains_against_plain():
     import numpy as np
 

@@ -224,6 +224,13 @@ def covers(spans, a, b):
     return any(x <= a and y >= b for x, y in spans)
 
 
+def test_passages_twice_in_a_document(spark):
+    p = fresh("p", 60)
+    rows = {1: fresh("a", 7) + p, 2: fresh("x", 30) + p + fresh("y", 100) + p + fresh("z", 5)}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[2, 1], 30, 90) and covers(got[2, 1], 190, 250)
+
+
 def test_passages_edited(spark):
     """60 words with every sixth replaced."""
     rows = {}

@@ -224,6 +224,22 @@ def covers(spans, a, b):
     return any(x <= a and y >= b for x, y in spans)
 
 
+def test_passages_halves_in_older_documents(spark):
+    p = fresh("p", 80)
+    rows = {1: p[:40] + fresh("a", 30), 2: fresh("d", 30) + p[40:], 3: fresh("b", 20) + p, 4: fresh("c", 25) + p + fresh("z", 9)}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[4, 3], 25, 105)
+
+
+def test_passages_of_common_lines(spark):
+    """Two documents share ten lines of five words; each pair of neighbours is in an older document too."""
+    lines = [fresh(f"l{i}-", 5) for i in range(11)]
+    rows = {d + 1: fresh(f"o{d}-", 9) + lines[d] + lines[d + 1] + fresh(f"u{d}-", 9) for d in range(10)}
+    rows |= {20: fresh("b", 20) + sum(lines, []), 21: fresh("c", 25) + sum(lines, [])}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[21, 20], 25, 80)
+
+
 def test_passages_twice_in_a_document(spark):
     p = fresh("p", 60)
     rows = {1: fresh("a", 7) + p, 2: fresh("x", 30) + p + fresh("y", 100) + p + fresh("z", 5)}

@@ -313,6 +313,43 @@ def test_sharding(spark, docs):
         t.commit(t.manifest(), t.version() - 1)
 
 
+def test_sharding_near_the_target(spark, docs, monkeypatch):
+    """Four shards of 0.9 of the target: merges end, and no pass makes as many files of the same tier again."""
+    root = new_path(spark, "test-near")
+    t = sharding.ShardedTable(spark, root)
+    for _ in range(4):
+        t.append(docs.coalesce(1))
+    t.target = int(t.manifest().agg(F.max("bytes")).first()[0] / 0.9)
+    one = sharding.ShardedTable(spark, new_path(spark, "test-near"), t.target)
+    for _ in range(4):
+        one.append(docs.coalesce(1))
+    calls, commit = [], one.commit
+    monkeypatch.setattr(one, "commit", lambda rows, parent: calls.append(parent) or (commit(rows, parent) if len(calls) < 4 else pytest.fail("compacts without end")))
+    one.compact()
+    assert one.read().count() == 4 * docs.count()
+
+
+def test_sharding_taken_versions(spark, docs, monkeypatch):
+    t = sharding.ShardedTable(spark, new_path(spark, "test-taken"))
+    few = docs.limit(5).coalesce(1)
+    t.append(few)
+    other, commit, taken = sharding.ShardedTable(spark, t.root), t.commit, []
+
+    def late(rows, parent):
+        if not taken:
+            taken.append(other.append(few))
+        return commit(rows, parent)
+
+    monkeypatch.setattr(t, "commit", late)
+    t.append(few)
+    assert taken and t.read().count() == 15
+    fs, path = t._fs()
+    monkeypatch.setattr(sharding, "LOCK_SECONDS", 1)
+    fs.create(path(f"{t.root}/commits/.{other.version() + 1}.lock"), False).close()
+    other.append(few)
+    assert other.read().count() == 20
+
+
 def test_empty_tables(spark, empty):
     for f in (jaccard.joined, imatch.fingerprints, langid.learn_and_predict, pieces.encode_decode, substrings.passages, substrings.without_repeats, langid.recognised):
         assert f(empty).collect() == []

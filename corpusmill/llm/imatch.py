@@ -101,10 +101,11 @@ def _prepare(lex_of, firsts_of):
             rows = []
             for doc, text, terms in zip(ids, texts, _terms(batch.column(1)), strict=True):
                 text = text or ""
-                b = max(0, int(np.searchsorted(firsts, -(2**63) if doc is None else doc, "right")) - 1)
+                place = -(2**63) if doc is None else doc
+                b = max(0, int(np.searchsorted(firsts, place, "right")) - 1)
                 row = (doc, len(text), press.compress(text.encode("utf-8", "surrogatepass")), fingerprint(terms, lex))
                 rows.append((b, 0, *row))
-                if doc is not None and firsts[b] == doc:
+                if firsts[b] == place:
                     rows.append(((b - 1) % len(firsts), 1, *row))
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string())

@@ -350,6 +350,13 @@ def test_sharding_taken_versions(spark, docs, monkeypatch):
     assert other.read().count() == 20
 
 
+def test_imatch_null_ids(spark):
+    for ids in ([None], [None, None], [None, 4, 5], [None, None, 4]):
+        rows = [(d, f"some words of text {k} " * 5, None, None, 0) for k, d in enumerate(ids)]
+        got = imatch.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, ids))
+
+
 def test_empty_tables(spark, empty):
     for f in (jaccard.joined, imatch.fingerprints, langid.learn_and_predict, pieces.encode_decode, substrings.passages, substrings.without_repeats, langid.recognised):
         assert f(empty).collect() == []

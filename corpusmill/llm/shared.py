@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset (tests, one machine) a new local one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a new local one is set, on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -23,10 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage, and survives lost executors. The application owns
+    the copy: it goes when the application ends, since results read it lazily until then."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,17 +43,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hot_size(rows: int, most: int = 10_000) -> int:
+    """From this many rows on a key is hot: at most `most` keys of a table of so many rows are."""
+    return max(64, -(-rows // most))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows left-joined with found, which has one row for each value of keys and its number of rows in column n (dropped).
+
+    Hot keys are found by a broadcast of at most 10,000 rows (hot_size), so that none lands whole in one task; the others by a shuffle.
+    """
+    least = hot_size(total)
+    mark = unused(rows, "_hot")
+    hot = found.where(F.col(n) >= least).drop(n).withColumn(mark, F.lit(True))
+    both = rows.join(F.broadcast(hot), keys, "left")
+    rest = both.where(F.col(mark).isNull()).select(*rows.columns).join(found.where(F.col(n) < least).drop(n), keys, "left")
+    return both.where(F.col(mark).isNotNull()).drop(mark).unionByName(rest)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     Returns (node, component) for every node of an edge; component is the smallest node reachable.
     Each round is written to the shared folder, so that lineage doesn't grow; a hub's edges are joined,
-    never collected. No edges: an empty table. Loops and repeated edges change nothing.
+    never collected. Rounds go on until nothing changes. No edges: an empty table. Loops and repeated edges change nothing.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = saved(e, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

@@ -1,7 +1,7 @@
 """WARC archives, index first: every record's file, offset, length, URL and digest are written as a table; readers sort
 the selected records, coalesce neighbouring byte ranges, and read only those.
 
-Records are gzip members of their own. A task writes one archive to the shared folder under a name of its own attempt; only
+Records are gzip members of their own, known by an id made from page and digest. A task writes one archive to the shared folder under a name of its own attempt; only
 index rows of attempts that succeeded are kept, so a repeated task leaves no second copy in the index.
 """
 
@@ -17,7 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import new_path, partitions, saved
+from corpusmill.llm.shared import looked_up, new_path, partitions, saved
 
 #: Payloads of at least so many bytes are written once.
 MIN_SHARED = 100
@@ -26,14 +26,18 @@ INDEX = "file string, offset long, length long, page_id long, url string, digest
 _RECORD = "page_id long, record_type string, digest string, payload_bytes long, refers_to long"
 
 
+def _id(page, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
+
+
 def _record(page, url, refers, payload: bytes, digest: str) -> bytes:
     kind = "response" if refers is None else "revisit"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page: {page}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_id(page, digest)}", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page: {page}", f"X-Payload-Bytes: {len(payload)}",
     ]
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_id(refers, digest)}", f"X-Refers-To-Page: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = payload if refers is None else b""
     return ("\r\n".join([*head, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
@@ -63,14 +67,16 @@ def write(pages: DataFrame, root: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html), returns the index, itself a table in the shared folder.
 
     A null html is an empty payload. Of equal payloads of MIN_SHARED bytes or more the one of the smallest page_id is a
-    response, others revisit it. Rows of equal page_id and payload: both are responses. An empty table gives an empty index.
+    response, others revisit it. Rows of equal page_id and payload are of one kind, and have one record id. A row of null
+    page_id is a response, and none revisits it. Other columns are ignored. An empty table gives an empty index.
     """
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
     rows = pages.select("page_id", "url", "html", digest.alias("digest"))
     size = F.octet_length(F.coalesce("html", F.lit("")))
     narrow = pages.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= MIN_SHARED)
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisits = narrow.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = looked_up(narrow, saved(first, "warc-first"), ["digest"], "n", pages.count())
+    revisits = found.where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     full = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return saved(full.mapInArrow(_write(root), INDEX), "warc-index")
 
@@ -95,10 +101,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = rest[: int(fields["Content-Length"])]
             found = fields["WARC-Payload-Digest"].removeprefix("sha256:")
             revisit = fields["WARC-Type"] == "revisit"
-            if found != digest or not revisit and hashlib.sha256(body).hexdigest() != digest:
+            size, refers = int(fields["X-Payload-Bytes"]), int(fields["X-Refers-To-Page"]) if revisit else None
+            if found != digest or not revisit and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
                 raise ValueError(f"record at {offset} of {file} doesn't match its digest")
+            if revisit and fields["WARC-Refers-To"] != _id(refers, digest):
+                raise ValueError(f"record at {offset} of {file} refers to another record than its page's")
             page = None if fields["X-Page"] == "None" else int(fields["X-Page"])
-            rows.append((page, fields["WARC-Type"], digest, None if revisit else len(body), int(fields["WARC-Refers-To"][10:-1]) if revisit else None))
+            rows.append((page, fields["WARC-Type"], digest, size, refers))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "record_type", "digest", "payload_bytes", "refers_to"])
@@ -115,7 +124,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(selected: DataFrame) -> DataFrame:
-    """Records of the selected index rows: page_id, record_type, digest, payload_bytes (null for a revisit), refers_to.
+    """Records of the selected index rows: page_id, record_type, digest, payload_bytes (of the full payload), refers_to.
     Digests are checked while reading."""
     rows = selected.select("file", "offset", "length", "digest").repartition(partitions(selected.sparkSession), "file", F.floor(F.col("offset") / MOST)).sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_read, _RECORD)
@@ -123,9 +132,6 @@ def read(selected: DataFrame) -> DataFrame:
 
 def archived(pages: DataFrame) -> DataFrame:
     """Writes and reads back all pages: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload
-    is that of the response it refers to."""
+    is that of the response it refers to, whose size and digest its header carries."""
     index = write(pages, new_path(pages.sparkSession, "warc"))
-    records = saved(read(index), "warc-records")
-    full = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "digest", F.col("payload_bytes").alias("full_bytes")).distinct()
-    out = records.join(full, ["refers_to", "digest"], "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return read(index).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

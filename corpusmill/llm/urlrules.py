@@ -8,9 +8,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import looked_up, saved
+
 #: Fixed rules: (host and path, verdict). A rule fits its host and all subdomains; the longest that fits wins.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.5
+#: Rules of so many tokens together are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 _BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,22 +35,33 @@ def tokens(host_: Column, path_: Column) -> Column:
 
 
 def mined(pages: DataFrame, labels: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT) -> DataFrame:
-    """(rule_id, tokens) of token sets that go with bad labels (toxic, or quality 0) of the pages labelled by page_id = doc_id."""
+    """(rule_id, tokens) of token sets that go with bad labels (toxic, or quality 0) of the pages labelled by page_id = doc_id.
+
+    Kept are rules of at least these shares of support and confidence, and of this lift. A rule that is a token
+    more than another is dropped: where it fits, the other fits. Null labels are good; a page with several labels is bad if
+    one is. Null urls and ids, an empty table or no labels add nothing: without baskets there are no rules.
+    """
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
     baskets = pages.where("url is not null").select("page_id", tokens(host(), path()).alias("t")).join(bad, F.col("page_id") == F.col("doc_id"))
     baskets = baskets.select(F.when(F.col("bad") == 1, F.array_append("t", F.lit(_BAD))).otherwise(F.col("t")).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == _BAD) & (F.col("lift") >= lift))
-    return rules.select(F.array_sort("antecedent").alias("tokens")).distinct().withColumn("rule_id", F.xxhash64("tokens"))
+    kept = saved(rules.select(F.array_sort("antecedent").alias("tokens")).distinct().withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
+    less_one = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda _, k: k != i))
+    wider = kept.where(F.size("tokens") > 1).select("rule_id", F.explode(less_one).alias("tokens")).join(kept.select("tokens"), "tokens", "left_semi")
+    return saved(kept.join(wider.select("rule_id").distinct(), "rule_id", "left_anti"), "url-rules")
 
 
 def by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct token sets (column t) of urls that hold all tokens of some rule: an inverted index from a token to
-    the rules with it, and a count of the tokens met."""
+    """(t, n, mined) of the distinct token sets (column t, in n rows) of urls; mined is true for those that hold all tokens of
+    some rule: an inverted index from a token to the rules with it, and a count of the tokens met. An index of at most
+    MAX_BROADCAST rows is broadcast."""
     index = rules.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    sets = urls.select("t").distinct()
+    if index.count() <= MAX_BROADCAST:
+        index = F.broadcast(index)
+    sets = urls.groupBy("t").agg(F.count("*").alias("n"))
     met = sets.select("t", F.explode("t").alias("token")).join(index, "token").groupBy("t", "rule_id").agg(F.count("*").alias("met"), F.max("need").alias("need"))
-    return met.where("met = need").select("t").distinct()
+    return sets.join(met.where("met = need").select("t", F.lit(True).alias("mined")).distinct(), "t", "left")
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -61,6 +76,6 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith("/" + p)
         fixed, verdict = F.when(fits, rule).otherwise(fixed), F.when(fits, what).otherwise(verdict)
     every = pages.select("page_id", host().alias("host"), path().alias("path")).withColumn("t", tokens(F.col("host"), F.col("path")))
-    blocked = by_rules(every, mined(pages.select("page_id", "url"), labels)).withColumn("mined", F.lit(True))
-    out = every.withColumn("rule", fixed).withColumn("fixed", verdict).join(blocked, "t", "left")
+    sets = saved(by_rules(every, mined(pages.select("page_id", "url"), labels)), "url-sets")
+    out = looked_up(every.withColumn("rule", fixed).withColumn("fixed", verdict), sets, ["t"], "n", pages.count())
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"))

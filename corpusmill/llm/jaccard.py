@@ -8,7 +8,7 @@ scanning lists, from the sizes and frequencies measured. Small sets near the bou
 
 Within a list no all-pairs are formed: every member is compared with a few leaders of its list. Components of
 these links are found; where a list still holds members of several components, members outside the list's main component are
-compared with the rest in blocks of bounded size, so that no link is lost.
+compared with the rest of like size in blocks of bounded size, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import components, partitions, saved
+from corpusmill.llm.shared import components, looked_up, partitions, saved
 from corpusmill.llm.words import SPACED, as_long, chunks, mix, shingles, utf8, words
 
 K = 5
@@ -239,10 +239,12 @@ def joined(documents: DataFrame) -> DataFrame:
     differ = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     # A Jaccard of 3/4 or more means that at most (na + nb) / 7 shingles differ, and that sizes are alike.
     alike = (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na"))
-    stars = saved(stars.join(a, "a").join(b, "b").where(alike & (7 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "jaccard-stars")
-    wide = sizes.where("n > 2 and doc_id is not null").select("doc_id", "n", "wide")
-    pairs = stars.join(wide.select(F.col("doc_id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("doc_id").alias("b"), F.col("wide").alias("wb")), "b")
-    pairs = saved(pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long"), "jaccard-pairs")
+    stars = saved(stars.join(a, "a").join(b, "b").where(alike & (7 * differ <= F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct(), "jaccard-stars")
+    wide = sizes.where("n > 2 and doc_id is not null").select("doc_id", "n", "hi", "lo", "wide")
+    pairs = stars
+    for x in "ab":
+        pairs = pairs.join(wide.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")), [x, f"n{x}"])
+    pairs = saved(pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long").distinct(), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = saved(_sets_of(docs, needed), "jaccard-sets")
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -251,11 +253,18 @@ def joined(documents: DataFrame) -> DataFrame:
     comp = components(links)
     open_lists = shared.where(F.col("members") > F.size(leaders) + 1)
     more = _open_links(open_lists, comp, wide, docs)
-    comp = components(links.union(more))
-    reps = sizes.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    out = sizes.drop("sketch", "wide").join(reps, ["hi", "lo", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    # Rows of equal doc_id with different texts: their components are one.
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    reps = saved(sizes.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
+    every = sizes.select("doc_id", "hi", "lo", "n")
+    classed = looked_up(every.where("doc_id is not null and n > 0"), reps, ["hi", "lo", "n"], "copies", sizes.count()).select("doc_id", "n", "rep")
+    out = saved(classed.union(every.where("doc_id is not null and n = 0").select("doc_id", "n", F.lit(None).cast("long"))), "jaccard-classes")
+    # Rows of equal doc_id in different classes: their components are one.
+    several = saved(out.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("rows > 1"), "jaccard-several")
+    same = out.join(several.where("low < high"), "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    comp = components(links.union(more).union(same))
+    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("own", F.coalesce("component", "rep", "doc_id"))
+    whole = out.join(several.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("own").alias("whole"))
+    out = out.join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("whole", "own").alias("component_id"))
+    return out.union(every.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long")))
 
 
 def _block_members(part: pd.DataFrame) -> pd.DataFrame:
@@ -269,26 +278,37 @@ def _block_members(part: pd.DataFrame) -> pd.DataFrame:
                 if 2 * k >= len(x) and k <= 2 * len(x):
                     found = index[_may_link(np.frombuffer(x, np.uint8), n, y, m) & (comps != comp)]
                     out += [at, *found.tolist()] if len(found) else []
-    return part.loc[sorted(set(out)), ["g", "i", "j", "side", "doc", "comp"]]
+    return part.loc[sorted(set(out)), ["g", "band", "i", "j", "side", "doc", "comp"]].drop_duplicates()
 
 
 def _open_links(open_lists: DataFrame, comp: DataFrame, wide: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join components, among the lists whose pairs were not all compared with leaders.
 
-    Lists with the same first leader are taken together (a document is then in few of them). Members outside the main
-    component are dealt into blocks, and so are all members; each pair of blocks is one group of bounded size."""
-    members = open_lists.select(F.col("l0").alias("g"), "doc").distinct()
+    Lists with the same first leader are taken together (a document is then in few of them), and parted by bands of size:
+    sets that link differ in size by a factor of 4/3 at most, so that they are in one band or in neighbouring ones. Members
+    outside the list's main component meet their own and the neighbouring bands, members of a band that band; both are dealt
+    into blocks, and each pair of blocks is one group of bounded size."""
+    members = open_lists.select(F.col("l0").alias("g"), "doc", "n").distinct()
     members = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    per = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("n", "comp")).alias("m"))
-    main = main.where("kinds > 1").select("g", F.col("m.comp").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / BLOCK).alias("left_blocks"), F.ceil(F.col("total") / BLOCK).alias("right_blocks"))
+    per = members.groupBy("g", "comp").agg(F.count("*").alias("m"))
+    main = per.groupBy("g").agg(F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("top")).where("kinds > 1").select("g", F.col("top.comp").alias("main"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    m = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS).cast("long"))).join(main.select("*", salts), ["g", "salt"]).drop("salt")
-    spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("long")
-    left = m.where("comp <> main").select("g", "doc", "comp", spot("left_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = m.select("g", "doc", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("i"), spot("right_blocks").alias("j"), F.lit(1).alias("side"))
-    dealt = left.union(right).join(wide.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]), "doc")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS).cast("long"))
+    band = F.floor(F.log("n") / np.log(4 / 3) + 1e-9)
+    m = members.withColumn("salt", salt).join(main.select("*", salts), ["g", "salt"]).withColumn("band", band)
+    right = m.select("g", "band", "doc", "n", "comp", F.lit(1).alias("side"))
+    left = m.where("comp <> main").select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "doc", "n", "comp", F.lit(0).alias("side"))
+    both = saved(left.union(right), "jaccard-members")
+    blocks = both.groupBy("g", "band").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).alias("lefts"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).alias("rights")).where("lefts > 0 and rights > 0")
+    both = both.withColumn("salt", salt).join(blocks.select("*", salts), ["g", "band", "salt"])
+    spot = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).cast("long")
+    all_of = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    dealt = both.withColumn("own", F.when(F.col("side") == 0, spot("lefts")).otherwise(spot("rights")))
+    dealt = dealt.select("g", "band", "doc", "n", "comp", "side", "own", F.explode(F.when(F.col("side") == 0, all_of("rights")).otherwise(all_of("lefts"))).alias("other"))
+    place = lambda side: F.when(F.col("side") == side, F.col("own")).otherwise(F.col("other"))
+    own = wide.withColumnRenamed("doc_id", "doc").repartition("doc", "n").dropDuplicates(["doc", "n", "hi", "lo"]).drop("hi", "lo")
+    dealt = dealt.withColumns({"i": place(0), "j": place(1)}).drop("own", "other").join(own, ["doc", "n"])
     # Sketches first; the sets of those documents alone that they leave are dealt.
-    kept = saved(dealt.groupBy("g", "i", "j").applyInPandas(_block_members, "g long, i long, j long, side int, doc long, comp long"), "jaccard-dealt")
-    sets = _sets_of(docs, kept.select(F.col("doc").alias("doc_id"))).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
-    return saved(kept.join(sets, "doc").groupBy("g", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")
+    kept = saved(dealt.groupBy("g", "band", "i", "j").applyInPandas(_block_members, "g long, band long, i long, j long, side int, doc long, comp long"), "jaccard-dealt")
+    sets = _sets_of(docs, kept.select(F.col("doc").alias("doc_id"))).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "shingles"])
+    return saved(kept.join(sets, "doc").groupBy("g", "band", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")

@@ -57,7 +57,8 @@ def hot_size(rows: int, most: int = 10_000) -> int:
 
 
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """rows left-joined with found, which has one row for each value of keys and its number of rows in column n (dropped).
+    """rows left-joined with found, which has one row for each value of keys that is hot in rows, and for any others, with
+    the number of rows in column n (dropped); total is the number of all rows.
 
     Hot keys are found by a broadcast of at most 10,000 rows (hot_size), so that none lands whole in one task; the others by a shuffle.
     """

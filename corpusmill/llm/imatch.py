@@ -22,8 +22,10 @@ from corpusmill.llm.shared import partitions
 from corpusmill.llm.words import SPACED, as_long, chunks, mix, utf8, words
 
 LOW, HIGH = 1e-3, 0.1
-#: A document with fewer terms in the band is hashed over all its terms.
+#: A document with fewer terms in the band is hashed over all its terms: few terms would be those of other texts too.
 FEWEST = 5
+#: Characters of texts that one bucket of edits has, about.
+BUCKET_CHARS = 32_000_000
 RATES, PER_RATE = 10, 4
 _EMPTY = "00000000"
 #: Subset s of rate r keeps the terms whose hash, mixed with the subset's number, begins with r zero bits.
@@ -154,18 +156,21 @@ def fingerprints(documents: DataFrame, low: float = LOW, high: float = HIGH) ->
     The edited text has the last quarter of the code points replaced by the first as many of the next document
     (ascending doc_id, after the last the first; rows of equal doc_id in an order of their text's length and bytes; null
     doc_ids come first). A null text is empty. A lone document is its own next. Other columns are ignored.
+    A text with fewer than FEWEST terms in the band (short ones, mostly) is hashed over all its terms, with the same subsets.
+    A text without terms has zeros for all subsets; two of them have a likeness of 1. An empty table gives an empty result.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     lex = spark.sparkContext.broadcast(lexicon(docs, low, high))
-    n = max(1, 3 * partitions(spark))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, 3 * partitions(spark), chars // BUCKET_CHARS)
     cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.001) if n > 1 else []
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
     bounds = F.array(*[F.lit(int(c)) for c in sorted({int(c) for c in cuts})]) if cuts else F.array().cast("array<bigint>")
     firsts = ids.groupBy(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id")))).agg(F.min("doc_id").alias("first")).collect()
     firsts = np.array(sorted(r["first"] for r in firsts) or [0], dtype=np.int64)
     kept = docs.mapInArrow(_prepare(lex, spark.sparkContext.broadcast(firsts)), "bucket long, extra int, doc_id long, n_chars long, body binary, fingerprint string")
-    order = kept.repartition(partitions(spark), "bucket").withColumn("turn", F.when((F.col("bucket") == len(firsts) - 1) | (F.col("extra") == 0), F.col("extra")).otherwise(1))
+    order = kept.repartition(-(-n // 3), "bucket").withColumn("turn", F.when((F.col("bucket") == len(firsts) - 1) | (F.col("extra") == 0), F.col("extra")).otherwise(1))
     order = order.sortWithinPartitions("bucket", "turn", F.col("doc_id").asc_nulls_first(), "n_chars", "body")
     return order.select("bucket", "extra", "doc_id", "n_chars", "body", "fingerprint").mapInArrow(
         _edit(lex), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import saved
+
 WINDOW = 10
 #: Characters of windows that one automaton holds; more items make more automata, each of which scans the texts.
 MAX_CHARS = 30_000_000
@@ -82,11 +84,11 @@ def _scan(items_of, size: int):
 def find(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_hit, hit_words, spans (character offsets), items.
 
-    An item's windows are all runs of size consecutive words; an item with fewer words, but not none, is one window.
+    Items of a null item_id are left out. An item's windows are all runs of size consecutive words; an item with fewer words, but not none, is one window.
     A document's word inside any occurrence of a window is hit. Null or empty texts have no words and no hits; items
     without words match nothing; other columns are ignored; an empty documents table gives an empty result, an empty
     benchmark no hits. Rows are kept as they are, repeated doc_ids included. Items are broadcast in groups of at most
-    max_chars characters of windows (bounded); with more than one group the documents are scanned once for each.
+    max_chars characters of windows (bounded); with more than one group the documents are saved once with a number for each row, and scanned once for each.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
@@ -95,7 +97,7 @@ def find(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_cha
     groups = int((items.agg(F.sum(cost)).first()[0] or 0) // max_chars) + 1
     if groups == 1:
         return docs.mapInArrow(_scan(spark.sparkContext.broadcast([tuple(r) for r in items.collect()]), size), HITS)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = saved(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     parts = []
     for g in range(groups):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == g).collect()]
@@ -112,7 +114,8 @@ def find(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_cha
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The query's columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """The query's columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, a row for each of hits. Without
+    items the digest is that of the empty text, and contaminated is false."""
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

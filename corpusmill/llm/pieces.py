@@ -261,7 +261,8 @@ def encode_decode(documents: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, piece_ids, decoded_chars, decoded_sha256 of every document."""
+    """doc_id, n_pieces, piece_ids, decoded_chars, decoded_sha256 of every row of documents, in the cases that encode_decode
+    defines: null and empty texts have no pieces and the digest of the empty text; an empty table gives an empty result."""
     return encode_decode(documents, model).select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -8,7 +8,7 @@ scanning lists, from the sizes and frequencies measured. Small sets near the bou
 
 Within a list no all-pairs are formed: every member is compared with a few leaders of its list. Components of
 these links are found; where a list still holds members of several components, members outside the list's main component are
-compared with the rest of like size in blocks of bounded size, so that no link is lost.
+compared with the rest in blocks of bounded size, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -278,37 +278,28 @@ def _block_members(part: pd.DataFrame) -> pd.DataFrame:
                 if 2 * k >= len(x) and k <= 2 * len(x):
                     found = index[_may_link(np.frombuffer(x, np.uint8), n, y, m) & (comps != comp)]
                     out += [at, *found.tolist()] if len(found) else []
-    return part.loc[sorted(set(out)), ["g", "band", "i", "j", "side", "doc", "comp"]].drop_duplicates()
+    return part.loc[sorted(set(out)), ["g", "i", "j", "side", "doc", "comp"]].drop_duplicates()
 
 
 def _open_links(open_lists: DataFrame, comp: DataFrame, wide: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join components, among the lists whose pairs were not all compared with leaders.
 
-    Lists with the same first leader are taken together (a document is then in few of them), and parted by bands of size:
-    sets that link differ in size by a factor of 4/3 at most, so that they are in one band or in neighbouring ones. Members
-    outside the list's main component meet their own and the neighbouring bands, members of a band that band; both are dealt
-    into blocks, and each pair of blocks is one group of bounded size."""
+    Lists with the same first leader are taken together (a document is then in few of them). Members outside the main
+    component are dealt into blocks, and so are all members; each pair of blocks is one group of bounded size."""
     members = open_lists.select(F.col("l0").alias("g"), "doc", "n").distinct()
     members = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     per = members.groupBy("g", "comp").agg(F.count("*").alias("m"))
-    main = per.groupBy("g").agg(F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("top")).where("kinds > 1").select("g", F.col("top.comp").alias("main"))
+    main = per.groupBy("g").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("top"))
+    main = main.where("kinds > 1").select("g", F.col("top.comp").alias("main"), F.ceil((F.col("total") - F.col("top.m")) / BLOCK).alias("left_blocks"), F.ceil(F.col("total") / BLOCK).alias("right_blocks"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS).cast("long"))
-    band = F.floor(F.log("n") / np.log(4 / 3) + 1e-9)
-    m = members.withColumn("salt", salt).join(main.select("*", salts), ["g", "salt"]).withColumn("band", band)
-    right = m.select("g", "band", "doc", "n", "comp", F.lit(1).alias("side"))
-    left = m.where("comp <> main").select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "doc", "n", "comp", F.lit(0).alias("side"))
-    both = saved(left.union(right), "jaccard-members")
-    blocks = both.groupBy("g", "band").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).alias("lefts"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).alias("rights")).where("lefts > 0 and rights > 0")
-    both = both.withColumn("salt", salt).join(blocks.select("*", salts), ["g", "band", "salt"])
+    m = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS).cast("long"))).join(main.select("*", salts), ["g", "salt"]).drop("salt")
     spot = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).cast("long")
-    all_of = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
-    dealt = both.withColumn("own", F.when(F.col("side") == 0, spot("lefts")).otherwise(spot("rights")))
-    dealt = dealt.select("g", "band", "doc", "n", "comp", "side", "own", F.explode(F.when(F.col("side") == 0, all_of("rights")).otherwise(all_of("lefts"))).alias("other"))
-    place = lambda side: F.when(F.col("side") == side, F.col("own")).otherwise(F.col("other"))
+    all_of = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    left = m.where("comp <> main").select("g", "doc", "n", "comp", spot("left_blocks").alias("i"), all_of("right_blocks").alias("j"), F.lit(0).alias("side"))
+    right = m.select("g", "doc", "n", "comp", all_of("left_blocks").alias("i"), spot("right_blocks").alias("j"), F.lit(1).alias("side"))
     own = wide.withColumnRenamed("doc_id", "doc").repartition("doc", "n").dropDuplicates(["doc", "n", "hi", "lo"]).drop("hi", "lo")
-    dealt = dealt.withColumns({"i": place(0), "j": place(1)}).drop("own", "other").join(own, ["doc", "n"])
+    dealt = left.union(right).join(own, ["doc", "n"])
     # Sketches first; the sets of those documents alone that they leave are dealt.
-    kept = saved(dealt.groupBy("g", "band", "i", "j").applyInPandas(_block_members, "g long, band long, i long, j long, side int, doc long, comp long"), "jaccard-dealt")
+    kept = saved(dealt.groupBy("g", "i", "j").applyInPandas(_block_members, "g long, i long, j long, side int, doc long, comp long"), "jaccard-dealt")
     sets = _sets_of(docs, kept.select(F.col("doc").alias("doc_id"))).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "shingles"])
-    return saved(kept.join(sets, "doc").groupBy("g", "band", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")
+    return saved(kept.join(sets, "doc").groupBy("g", "i", "j").applyInPandas(_block_links, "a long, b long"), "jaccard-more")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions.numbers import rounded
 from corpusmill.rules import DEFAULT, Rules
 
 
@@ -17,13 +18,16 @@ def answers(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.withColumn("documented", F.when(F.col("graded"), F.col("note").isNotNull()).otherwise(F.col("_q").isNotNull())).drop("_q")
 
 
-def final_notes(answers_: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """Per criterion why it concludes or not, its note and whether its answers disagree."""
+def final_notes(answers_: DataFrame, criteria: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Per criterion of criteria why it concludes or not, its note (1 digit) and whether its answers disagree: one is contradictory,
+    or their spread is large."""
     a = answers_.groupBy("criterion").agg(
-        F.count("*").alias("total"), F.count_if("documented").alias("documented"), F.bool_or("graded").alias("graded"),
-        F.avg("note").alias("mean"), (F.coalesce(F.stddev_pop("note"), F.lit(0.0)) > rules.ambiguity).alias("apart"),
+        F.count("*").alias("total"), F.count_if("documented").alias("documented"), F.bool_or("graded").alias("graded"), rounded(F.avg("note"), 1).alias("mean"),
+        (F.coalesce(F.bool_or("contradictory"), F.lit(False)) | ((F.count("note") >= 2) & (F.stddev_pop("note") > rules.ambiguity))).alias("apart"),
     )
-    reason = F.when(F.col("documented") < rules.documented_ratio * F.col("total"), "insufficient").when(~F.col("graded"), "ai_unavailable").otherwise("concluded")
+    a = criteria.join(a, "criterion", "left").fillna(0, ["total", "documented"]).fillna(False, ["graded", "apart"])
+    few = F.col("documented") < rules.documented_ratio * F.col("total")
+    reason = F.when(F.col("total") == 0, "no_questions").when(few, "insufficient").when(~F.col("graded"), "ai_unavailable").otherwise("concluded")
     done = reason == "concluded"
     return a.select("criterion", "total", "documented", reason.alias("reason"), F.when(done, F.col("mean")).alias("note"), (done & F.col("apart")).alias("ambiguous"))
 
@@ -56,8 +60,17 @@ def alerts(scores: DataFrame, notes: DataFrame, links: DataFrame, rules: Rules =
     return gaps.unionByName(weak).withColumn("severity", F.when(major, "majeure").otherwise("mineure"))
 
 
-def pillar_evidence(matches: DataFrame, document_versions: DataFrame) -> DataFrame:
-    return matches.join(document_versions, "document_id").groupBy("pillar", "order_index", "segment_id").agg(F.max("similarity").alias("similarity"))
+def with_evidence(alerts_: DataFrame, by_pillar: DataFrame, by_criterion: DataFrame) -> DataFrame:
+    """The alerts that some segment of their criterion or of their pillar's version supports."""
+    of_criterion = by_criterion.select("criterion").distinct().withColumn("_c", F.lit(True))
+    of_pillar = by_pillar.select("pillar", "order_index").distinct().withColumn("_p", F.lit(True))
+    both = alerts_.join(of_criterion, "criterion", "left").join(of_pillar, ["pillar", "order_index"], "left")
+    return both.where("_c or _p").select(*alerts_.columns)
+
+
+def pillar_evidence(selected: DataFrame) -> DataFrame:
+    """Best similarity of each segment selected as evidence of a pillar's variables."""
+    return selected.groupBy("pillar", "order_index", "segment_id").agg(F.max("similarity").alias("similarity"))
 
 
 def criterion_evidence(candidates: DataFrame, answers_: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def _keyed(rows: DataFrame, letter: str, order: list[Column], rules: Rules) -> D
 
 
 def limits(scores: DataFrame, notes: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """One row: criteria without conclusion, all criteria, mean confidence of latest versions, whether limits lead the text."""
-    last = scores.groupBy("pillar").agg(F.max_by("confidence", "order_index").alias("c")).agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("confidence"))
+    """One row: criteria without conclusion, all criteria, mean confidence of latest versions (2 digits), whether limits lead the text."""
+    last = scores.groupBy("pillar").agg(F.max_by("confidence", "order_index").alias("c")).agg(rounded(F.coalesce(F.avg("c"), F.lit(0.0)), 2).alias("confidence"))
     n = notes.agg(F.count_if(F.col("reason") != "concluded").alias("not_concluded"), F.count("*").alias("criteria"))
     return n.join(last, how="cross").withColumn("leads", (F.col("not_concluded") >= rules.limits_from) | (F.col("confidence") < rules.poor_confidence))

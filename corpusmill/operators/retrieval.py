@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions.vectors import inner
+from corpusmill.operators.products import products
 from corpusmill.rules import DEFAULT, Rules
 
 
 def nearest(queries: DataFrame, segments: DataFrame, k: int | None) -> DataFrame:
     """The k (None: all) most similar segments of each query (query_id, vector), itself excluded; ties by segment id."""
-    q, s = queries.alias("q"), segments.alias("s")
-    pairs = s.join(q, F.col("s.segment_id") != F.col("q.query_id")).select("q.query_id", "s.segment_id", "s.document_id", inner("s.vector", "q.vector").alias("similarity"))
+    pairs = products(segments, queries, "query_id", k=k).select("query_id", "segment_id", "document_id", "similarity")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "segment_id"))
     ranked = pairs.withColumn("rank", rank)
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,11 +33,13 @@ pr AS (SELECT vec_id AS variable_id, label AS pillar, r, 1 + r % 3 AS weight, CA
 m AS (SELECT segment_id, document_id, variable_id, pillar, list_inner_product(seg.v, pr.v) AS similarity FROM seg, pr WHERE segment_id <> variable_id AND list_inner_product(seg.v, pr.v) >= 0.28),
 dv AS (SELECT DISTINCT document_id, 1 + document_id % 2 AS order_index FROM seg WHERE document_id % 10 <> 9),
 pd AS (SELECT variable_id, order_index, document_id, count(DISTINCT segment_id) n, max(similarity) best FROM m JOIN dv USING (document_id) GROUP BY ALL),
-per AS (SELECT variable_id, order_index, count(*) documents, count(*) FILTER (WHERE best >= 0.35) strong, 1 - product(1 - least(1.0, n / 3.0)) confidence FROM pd GROUP BY ALL),
+per AS (SELECT variable_id, order_index, count(*) documents, count(*) FILTER (WHERE best >= 0.35) strong, CAST(round_even(CAST(1 - product(1 - least(1.0, n / 3.0)) AS DECIMAL(30,12)), 4) AS DOUBLE) confidence FROM pd GROUP BY ALL),
 va AS (SELECT pr.variable_id, pillar, order_index, weight, CASE WHEN documents IS NULL THEN NULL WHEN strong >= 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS value, coalesce(documents, 0) AS documents, confidence
   FROM pr CROSS JOIN (SELECT DISTINCT order_index FROM dv) LEFT JOIN per USING (variable_id, order_index)),
-sc AS (SELECT pillar, order_index, sum(weight * value) / sum(CASE WHEN value IS NOT NULL THEN weight END) * 100 AS score, avg(coalesce(confidence, 0)) AS confidence, count(value) AS documented FROM va GROUP BY ALL),
-ev AS (SELECT *, score - lag(score) OVER (PARTITION BY pillar ORDER BY order_index) AS delta FROM sc)
+sc AS (SELECT pillar, order_index, CAST(round_even(CAST(sum(weight * value) / sum(CASE WHEN value IS NOT NULL THEN weight END) * 100 AS DECIMAL(30,12)), 2) AS DOUBLE) AS score, CAST(round_even(CAST(avg(coalesce(confidence, 0)) AS DECIMAL(30,12)), 4) AS DOUBLE) AS confidence, count(value) AS documented FROM va GROUP BY ALL),
+ev AS (SELECT *, CAST(round_even(CAST(score - lag(score) OVER (PARTITION BY pillar ORDER BY order_index) AS DECIMAL(30,12)), 2) AS DOUBLE) AS delta FROM sc),
+ed AS (SELECT *, row_number() OVER (PARTITION BY variable_id, order_index, document_id ORDER BY similarity DESC, segment_id) dr FROM m JOIN dv USING (document_id)),
+es AS (SELECT *, CAST(row_number() OVER (PARTITION BY variable_id, order_index ORDER BY CASE WHEN dr > 1 THEN 1 ELSE 0 END, similarity DESC, document_id, segment_id) AS INTEGER) AS place FROM ed QUALIFY place <= 10)
 """
 
 
@@ -65,15 +68,17 @@ def probe_matches(spark, sf_dir):
     return _layer_a(spark, sf_dir)[3].withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_LAYER_A + """, w AS (SELECT *, row_number() OVER (PARTITION BY variable_id, document_id ORDER BY similarity DESC, segment_id) dr FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY variable_id ORDER BY CASE WHEN dr > 1 THEN 1 ELSE 0 END, similarity DESC, document_id, segment_id) AS place FROM w)
-SELECT variable_id, document_id, segment_id, round(similarity, 6) AS similarity, CAST(place AS INTEGER) AS place FROM k WHERE place <= 10""")
+@query(_LAYER_A + "SELECT variable_id, order_index, document_id, segment_id, round(similarity, 6) AS similarity, place FROM es")
 def evidence_selection(spark, sf_dir):
-    m = _layer_a(spark, sf_dir)[3]
-    of_doc = F.row_number().over(W.partitionBy("variable_id", "document_id").orderBy(F.desc("similarity"), "segment_id"))
-    place = F.row_number().over(W.partitionBy("variable_id").orderBy((F.col("dr") > 1).cast("int"), F.desc("similarity"), "document_id", "segment_id"))
-    k = m.withColumn("dr", of_doc).withColumn("place", place).where("place <= 10")
-    return k.select("variable_id", "document_id", "segment_id", F.round("similarity", 6).alias("similarity"), "place")
+    _, _, dv, m = _layer_a(spark, sf_dir)
+    return layer_a.evidence(m, dv).select("variable_id", "order_index", "document_id", "segment_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query(_LAYER_A + """SELECT pillar, order_index, documents, detected FROM (SELECT DISTINCT pillar FROM pr) CROSS JOIN (SELECT order_index, count(*) AS documents FROM dv GROUP BY ALL)
+LEFT JOIN (SELECT pillar, order_index, count(DISTINCT document_id) AS d FROM m JOIN dv USING (document_id) GROUP BY ALL) USING (pillar, order_index), LATERAL (SELECT coalesce(d, 0) AS detected)""")
+def pillar_documents(spark, sf_dir):
+    _, p, dv, m = _layer_a(spark, sf_dir)
+    return layer_a.documents_of(m, p, dv)
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -133,10 +138,10 @@ def usage_costs(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("calls"), (F.sum(tokens) * F.lit("2.5").cast("decimal(3,1)") / 1000000).cast("decimal(18,6)").alias("cost_eur"))
 
 
-@query("""SELECT event_id, user_id, n AS attempts, n > 5 AS banned FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM events)""")
+@query("""SELECT event_id, user_id, n AS attempts, n > 5 AS banned FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM events)""")
 def sliding_attempts(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")))
-    n = F.count("*").over(W.partitionBy("user_id").orderBy("sec").rangeBetween(-86_400_000_000, 0))
+    n = F.count("*").over(W.partitionBy("user_id").orderBy("sec").rangeBetween(1 - 86_400_000_000, 0))  # an attempt at exactly the window's length before no longer counts
     return e.select("event_id", "user_id", n.alias("attempts"), (n > 5).alias("banned"))
 
 
@@ -147,19 +152,18 @@ def weight_shares(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 100 / total, 6).alias("share"))
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(b.text, '\\s+', ' ', 'g')))""")
+@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(replace(d.text, chr(173), ''), '\\s+', ' ', 'g')), lower(regexp_replace(replace(b.text, chr(173), ''), '\\s+', ' ', 'g')))""")
 def gold_hits(spark, sf_dir):
-    flat = lambda c: F.lower(F.regexp_replace(c, "\\s+", " "))
+    flat = lambda c: F.lower(F.regexp_replace(F.translate(c, "\u00ad", ""), "\\s+", " "))
     d = table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("norm"))
     b = table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("quote"))
     # An item's second to fourth words are a key that every containing text has: an equi-join, then the exact test.
     key = F.array_join(F.slice(F.split(F.trim("quote"), " "), 2, 3), " ")
-    # Made from shifted copies of the words, outside any lambda, so that a text is split a few times and not once a word.
-    words = F.split("norm", " ")
-    shifted = lambda i: F.slice(words, i, F.greatest(F.size(words), F.lit(0)))
-    joined = lambda x, y: F.concat_ws(" ", x, y)
-    grams = F.array_distinct(F.zip_with(F.zip_with(words, shifted(2), joined), shifted(3), joined))
+    # Only ids and keys are exploded; the texts come back for the few candidates.
+    triples = NGram(n=3, inputCol="words", outputCol="grams").transform(d.select("doc_id", F.split("norm", " ").alias("words")))
     short = F.size(F.split(F.trim("quote"), " ")) < 5
-    long = d.select("doc_id", "norm", F.explode(grams).alias("key")).join(b.where(~short).withColumn("key", key), "key").where(F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id").distinct()
+    wanted = b.where(~short).select("item_id", key.alias("key"))
+    found = triples.select("doc_id", F.explode("grams").alias("key")).join(wanted, "key").select("doc_id", "item_id").distinct()
+    long = d.join(found, "doc_id").join(b, "item_id").where(F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id").distinct()
     few = d.join(b.where(short), F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id")
     return long.union(few)

@@ -8,50 +8,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.operators import assessment, decisions, ingestion, layer_a, retrieval
+from corpusmill.operators.products import products
 from corpusmill.plans.catalogue import ORACLES, _LAYER_A, _layer_a, _nearest, query
 from corpusmill.sources.tables import segments, table
 from corpusmill.streaming import counts
 
 _B = _LAYER_A + """, nn AS (SELECT q.vec_id AS query_id, s.segment_id, list_inner_product(s.v, CAST(q.embedding AS DOUBLE[])) AS similarity FROM seg s, embeddings q WHERE q.vec_id % 25 = 0 AND s.segment_id <> q.vec_id),
 ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, segment_id) AS rank FROM nn) WHERE rank <= 8 AND similarity >= 0.28),
-qu AS (SELECT vec_id AS query_id, vec_id % 7 AS criterion, (vec_id % 7) % 4 <> 3 AS graded, CASE WHEN (vec_id % 7) % 4 <> 3 AND vec_id % 3 <> 0 THEN (vec_id * 7) % 4 END AS note FROM embeddings WHERE vec_id % 25 = 0),
+qu AS (SELECT vec_id AS query_id, vec_id % 7 AS criterion, (vec_id % 7) % 4 <> 3 AS graded, CASE WHEN (vec_id % 7) % 4 <> 3 AND vec_id % 3 <> 0 THEN (vec_id * 7) % 4 END AS note, vec_id % 11 = 0 AS contradictory FROM embeddings WHERE vec_id % 25 = 0),
 an AS (SELECT *, CASE WHEN graded THEN note IS NOT NULL ELSE query_id IN (SELECT query_id FROM ca) END AS documented FROM qu),
-ct AS (SELECT criterion, count(*) AS total, count(*) FILTER (WHERE documented) AS documented, bool_or(graded) AS graded, avg(note) AS mean, coalesce(stddev_pop(note), 0) > 1 AS apart FROM an GROUP BY criterion),
-cr AS (SELECT *, CASE WHEN documented < 0.5 * total THEN 'insufficient' WHEN NOT graded THEN 'ai_unavailable' ELSE 'concluded' END AS reason FROM ct),
+ct AS (SELECT criterion, count(*) AS total, count(*) FILTER (WHERE documented) AS documented, bool_or(graded) AS graded, CAST(round_even(CAST(avg(note) AS DECIMAL(30,12)), 1) AS DOUBLE) AS mean, bool_or(contradictory) OR count(note) >= 2 AND stddev_pop(note) > 1 AS apart FROM an GROUP BY criterion),
+cq AS (SELECT criterion, coalesce(total, 0) AS total, coalesce(documented, 0) AS documented, coalesce(graded, false) AS graded, mean, coalesce(apart, false) AS apart FROM (SELECT DISTINCT vec_id % 8 AS criterion FROM embeddings) LEFT JOIN ct USING (criterion)),
+cr AS (SELECT *, CASE WHEN total = 0 THEN 'no_questions' WHEN documented < 0.5 * total THEN 'insufficient' WHEN NOT graded THEN 'ai_unavailable' ELSE 'concluded' END AS reason FROM cq),
 nt AS (SELECT criterion, total, documented, reason, CASE WHEN reason = 'concluded' THEN mean END AS note, reason = 'concluded' AND apart AS ambiguous FROM cr),
 lt AS (SELECT * FROM ev WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pillar ORDER BY order_index DESC) = 1),
 li AS (SELECT DISTINCT label AS pillar, CAST(unnest([label % 7, (label + 3) % 7]) AS BIGINT) AS criterion FROM embeddings),
 ga AS (SELECT CASE WHEN criterion = 2 AND score >= 50 AND note <= 1 THEN 'ALERT-03' WHEN criterion = 3 AND score >= 40 AND note <= 1 THEN 'ALERT-04' WHEN criterion = 4 AND score >= 50 AND note <= 1 THEN 'ALERT-05'
   WHEN score >= 60 AND note <= 1 THEN 'ALERT-01' WHEN score <= 40 AND note >= 2 THEN 'ALERT-02' END AS rule, pillar, order_index, criterion, score, note, confidence FROM lt JOIN li USING (pillar) JOIN nt USING (criterion) WHERE note IS NOT NULL),
-al AS (SELECT *, CASE WHEN rule IN ('ALERT-01', 'ALERT-02') AND confidence >= 0.5 THEN 'majeure' ELSE 'mineure' END AS severity FROM
+ax AS (SELECT *, CASE WHEN rule IN ('ALERT-01', 'ALERT-02') AND confidence >= 0.5 THEN 'majeure' ELSE 'mineure' END AS severity FROM
   (SELECT * FROM ga WHERE rule IS NOT NULL UNION ALL SELECT 'ALERT-06', pillar, order_index, NULL, score, NULL, confidence FROM ev WHERE delta >= 5 AND confidence < 0.5)),
-pe AS (SELECT pillar, order_index, segment_id, max(similarity) AS similarity FROM m JOIN dv USING (document_id) GROUP BY ALL),
-ce AS (SELECT criterion, segment_id, max(similarity) AS similarity FROM ca JOIN an USING (query_id) WHERE documented GROUP BY ALL)
+pe AS (SELECT pillar, order_index, segment_id, max(similarity) AS similarity FROM es GROUP BY ALL),
+ce AS (SELECT criterion, segment_id, max(similarity) AS similarity FROM ca JOIN an USING (query_id) WHERE documented GROUP BY ALL),
+al AS (SELECT * FROM ax WHERE EXISTS (SELECT 1 FROM pe WHERE pe.pillar = ax.pillar AND pe.order_index = ax.order_index) OR EXISTS (SELECT 1 FROM ce WHERE ce.criterion = ax.criterion))
 """
 
 
 def _layer_b(spark, sf_dir):
     e, v = table(spark, sf_dir, "embeddings"), F.col("vec_id")
     graded = (v % 7) % 4 != 3
-    questions = e.where(v % 25 == 0).select(v.alias("query_id"), (v % 7).alias("criterion"), graded.alias("graded"), F.when(graded & (v % 3 != 0), (v * 7) % 4).alias("note"))
+    questions = e.where(v % 25 == 0).select(v.alias("query_id"), (v % 7).alias("criterion"), graded.alias("graded"), F.when(graded & (v % 3 != 0), (v * 7) % 4).alias("note"), (v % 11 == 0).alias("contradictory"))
     candidates = _nearest(spark, sf_dir, 8).where("similarity >= 0.28")
     a = assessment.answers(questions, candidates)
-    return candidates, a, assessment.final_notes(a)
+    return candidates, a, assessment.final_notes(a, e.select((v % 8).alias("criterion")).distinct())
 
 
-def _layer_c(spark, sf_dir):
+def _layer_c(spark, sf_dir, turned=False):
+    """Scores, notes, alerts and evidence; turned: with the later version first."""
     _, p, dv, m = _layer_a(spark, sf_dir)
+    dv = dv.withColumn("order_index", 3 - F.col("order_index")) if turned else dv
     s = layer_a.scores(layer_a.variables(m, p, dv))
     candidates, a, notes = _layer_b(spark, sf_dir)
     links = table(spark, sf_dir, "embeddings").select(F.col("label").alias("pillar")).distinct().select("pillar", F.explode(F.array(F.col("pillar") % 7, (F.col("pillar") + 3) % 7).cast("array<bigint>")).alias("criterion"))
-    return s, notes, assessment.alerts(s, notes, links), assessment.pillar_evidence(m, dv), assessment.criterion_evidence(candidates, a)
+    by_pillar, by_criterion = assessment.pillar_evidence(layer_a.evidence(m, dv)), assessment.criterion_evidence(candidates, a)
+    return s, notes, assessment.with_evidence(assessment.alerts(s, notes, links), by_pillar, by_criterion), by_pillar, by_criterion
 
 
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-@query(_B + "SELECT query_id, criterion, graded, note, documented FROM an")
+@query(_B + "SELECT query_id, criterion, graded, note, contradictory, documented FROM an")
 def subquestion_status(spark, sf_dir):
     return _layer_b(spark, sf_dir)[1]
 
@@ -76,10 +82,11 @@ def alert_evidence(spark, sf_dir):
     return _rounded(assessment.evidence_of(found, by_pillar, by_criterion), "similarity")
 
 
-@query(_B + """, x AS (SELECT pillar, round(delta, 6) AS delta FROM lt WHERE delta >= 5 AND (pillar, order_index) IN (SELECT (pillar, order_index) FROM pe))
+#: Versions in turned order, so that pillars gain.
+@query(_B.replace("1 + document_id % 2 AS order_index", "2 - document_id % 2 AS order_index") + """, x AS (SELECT pillar, round(delta, 6) AS delta FROM lt WHERE delta >= 5 AND (pillar, order_index) IN (SELECT (pillar, order_index) FROM pe))
 SELECT 'P' || row_number() OVER (ORDER BY delta DESC, pillar) AS key, pillar, delta FROM x QUALIFY row_number() OVER (ORDER BY delta DESC, pillar) <= 3""")
 def findings_progress(spark, sf_dir):
-    s, _, _, by_pillar, _ = _layer_c(spark, sf_dir)
+    s, _, _, by_pillar, _ = _layer_c(spark, sf_dir, turned=True)
     return assessment.progresses(s, by_pillar)
 
 
@@ -92,7 +99,7 @@ def findings_weakness_topk(spark, sf_dir):
 
 
 @query(_B + """SELECT n.*, round(confidence, 6) AS confidence, not_concluded >= 2 OR confidence < 0.5 AS leads FROM (SELECT count(*) FILTER (WHERE reason <> 'concluded') AS not_concluded, count(*) AS criteria FROM nt) n,
-(SELECT coalesce(avg(c), 0) AS confidence FROM (SELECT max_by(confidence, order_index) AS c FROM sc GROUP BY pillar))""")
+(SELECT CAST(round_even(CAST(coalesce(avg(c), 0) AS DECIMAL(30,12)), 2) AS DOUBLE) AS confidence FROM (SELECT max_by(confidence, order_index) AS c FROM sc GROUP BY pillar))""")
 def corpus_limits(spark, sf_dir):
     s, notes, *_ = _layer_c(spark, sf_dir)
     return _rounded(assessment.limits(s, notes), "confidence")
@@ -112,9 +119,8 @@ def report_csv_rows(spark, sf_dir):
 SELECT m.segment_id, m.variable_id, m.pillar, round(m.similarity, 6) AS similarity FROM m JOIN bp USING (segment_id, pillar)""")
 def segment_classification(spark, sf_dir):
     s, p, _, m = _layer_a(spark, sf_dir)
-    first = p.where("rank = 1").select("variable_id", F.col("pillar").alias("own"), F.col("vector").alias("probe"))
-    similarity = F.aggregate(F.zip_with("vector", "probe", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    best = s.join(first, F.col("segment_id") != F.col("variable_id")).groupBy("segment_id").agg(F.max_by("own", similarity).alias("pillar"))
+    first = p.where("rank = 1").select("variable_id", F.col("pillar").alias("own"), "vector")
+    best = products(s, first, "variable_id", k=None).join(first.drop("vector"), "variable_id").groupBy("segment_id").agg(F.max_by("own", "similarity").alias("pillar"))
     return m.join(best, ["segment_id", "pillar"]).select("segment_id", "variable_id", "pillar", F.round("similarity", 6).alias("similarity"))
 
 

@@ -1,7 +1,9 @@
-"""Text columns: margin keys, CSV cell guard, slugs, shortened excerpts."""
+"""Text columns: normal forms, phrases, margin keys, citation marks, windows, spans, CSV cells, slugs, shortened excerpts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,82 @@ def squeezed(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " "))
 
 
+#: Letters with marks that decompose, and what they decompose to.
+MARKED = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Fixed value: a page number at either end of a line.
+PAGE_NUMBER = "[-–—|·•\\s]*(?:page|p\\.)?\\s*\\d+(?:\\s*(?:/|sur|of|de)\\s*\\d+)?[-–—|·•\\s]*"
+
+
+def normalised(c: Column | str) -> Column:
+    """Lower case without marks, runs of other characters than a-z and 0-9 as one space; letters that don't decompose vanish."""
+    ascii_ = F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), "[^\\x00-\\x7f]", "")
+    return F.trim(F.regexp_replace(ascii_, "[^a-z0-9]+", " "))
+
+
+def contains_phrase(text: Column, phrase: str) -> Column:
+    """Whether a normalised text has a normalised phrase as whole words."""
+    return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {phrase} ") if phrase else F.lit(False)
+
+
+def count_phrase(text: Column, phrase: str) -> Column:
+    """How often, without overlap (two phrases don't share a space)."""
+    padded, p = F.concat(F.lit(" "), text, F.lit(" ")), f" {phrase} "
+    return ((F.length(padded) - F.length(F.replace(padded, F.lit(p), F.lit("")))) / len(p)).cast("int") if phrase else F.lit(0)
+
+
+def mentions(text: Column, norm: Column, term: str) -> Column:
+    """2 to 6 capitals or digits are an acronym, sought as written between other characters; other terms are phrases."""
+    if re.fullmatch("[A-Z0-9]{2,6}", term):
+        return text.rlike(f"(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])")
+    return contains_phrase(norm, term.lower())
+
+
 def margin_key(line: Column | str) -> Column:
     """A line as running headers and footers are compared: lower case, page number at either end removed, '#' if nothing is left."""
-    key = F.regexp_replace(F.lower(squeezed(line)), "^(page )?[-– ]*[0-9]+( */ *[0-9]+)?[-– ]*|[-– ]*(page )?[0-9]+( */ *[0-9]+)?[-– ]*$", "")
-    return F.when(F.trim(key) == "", "#").otherwise(F.trim(key))
+    value = F.trim(F.lower(F.regexp_replace(line, "\\s+", " ")))
+    value = F.regexp_replace(value, f"(?<=\\D){PAGE_NUMBER}$|^{PAGE_NUMBER}$", "")
+    value = F.trim(F.regexp_replace(value, f"^{PAGE_NUMBER}(?=\\D|$)", ""))
+    return F.when(value == "", "#").otherwise(value)
+
+
+def plain(c: Column | str) -> Column:
+    """A text without its source markers."""
+    return F.regexp_replace(c, "⟦\\d+(,\\d+)*⟧", "")
+
+
+def references(c: Column | str) -> Column:
+    """The references of a text in order: 'E1.2', 'E3' of '[E1.2, E3]'."""
+    inside = F.regexp_extract_all(c, F.lit("\\[(E\\d+(?:\\.\\d+)?(?:\\s*[,;]\\s*E\\d+(?:\\.\\d+)?)*)\\]"), 1)
+    return F.flatten(F.transform(inside, lambda x: F.transform(F.split(x, "[,;]"), lambda y: F.trim(y))))
+
+
+def token_set(c: Column | str) -> Column:
+    """Distinct words of letters and digits of more than two characters, without marks."""
+    words = F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit("[a-z0-9]+"), 0)
+    return F.array_distinct(F.filter(words, lambda x: F.length(x) > 2))
+
+
+def windows(c: Column | str, size: int) -> Column:
+    """Runs of so many words, one after another; an empty text has one empty window."""
+    words = F.filter(F.split(c, "\\s+"), lambda x: x != "")
+    n = F.greatest(F.lit(1), F.ceil(F.size(words) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
+
+
+def parsed_spans(c: Column | str, most: int = 20) -> Column:
+    """'0-154,155-300' as spans; NULL if a part isn't two numbers in order, or there are more than most."""
+    parts = F.split(c, ",")
+    good = F.forall(parts, lambda x: x.rlike("^\\d+-\\d+$")) & (F.size(parts) <= most)
+    spans = F.transform(parts, lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("start"), F.split(x, "-")[1].cast("int").alias("end")))
+    return F.when(good, F.when(F.forall(spans, lambda x: x["start"] < x["end"]), spans))
+
+
+def client_key(ip: Column) -> Column:
+    """An IPv4 address as it is, the /64 network of a full IPv6 address, 'unknown' for anything else."""
+    v6 = ip.rlike("^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$")
+    v4 = ip.rlike("^((25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(25[0-5]|2[0-4]\\d|1?\\d?\\d)$")
+    return F.when(v6, F.concat(F.substring_index(ip, ":", 4), F.lit("::/64"))).when(v4, ip).otherwise("unknown")
 
 
 def csv_cell(c: Column | str) -> Column:
@@ -33,3 +107,17 @@ def shortened(c: Column | str, limit: int) -> Column:
     back = F.locate(" ", F.reverse(head))
     kept = F.when((back > 0) & (limit - 1 - back > limit / 2), F.substring(head, F.lit(1), limit - 1 - back)).otherwise(head)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(kept), F.lit("…")))
+
+
+def paragraphs(c: Column | str) -> Column:
+    """The parts of a text between blank lines, trimmed; empty ones go."""
+    return F.filter(F.transform(F.split(c, "\\n\\s*\\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
+
+
+def fingerprint(kind: Column, country: Column, financiers: Column, years: Column, languages: Column) -> Column:
+    """One sentence that tells what a profile looks for; what is missing is said so."""
+    by = F.when(F.size(financiers) > 0, F.array_join(financiers, ", ")).otherwise("non précisé")
+    return F.concat(
+        F.lit("Programme "), kind, F.lit(" en "), F.coalesce(country, F.lit("—")), F.lit(", financé par "), by,
+        F.coalesce(F.concat(F.lit(", années "), years), F.lit("")), F.lit(", langues "), F.array_join(F.transform(languages, F.upper), ", "),
+    )

@@ -116,3 +116,21 @@ def limits(scores: DataFrame, notes: DataFrame, rules: Rules = DEFAULT) -> DataF
     last = scores.groupBy("pillar").agg(F.max_by("confidence", "order_index").alias("c")).agg(rounded(F.coalesce(F.avg("c"), F.lit(0.0)), 2).alias("confidence"))
     n = notes.agg(F.count_if(F.col("reason") != "concluded").alias("not_concluded"), F.count("*").alias("criteria"))
     return n.join(last, how="cross").withColumn("leads", (F.col("not_concluded") >= rules.limits_from) | (F.col("confidence") < rules.poor_confidence))
+
+
+def placed(alerts_: DataFrame) -> DataFrame:
+    """alerts with their place in the report: major ones first, then by rule. There are few: at most one for each pair of a
+    pillar and a criterion linked to it, so that one ordered window holds them."""
+    order = [(F.col("severity") != "majeure"), F.col("rule"), F.col("pillar"), F.col("order_index"), F.col("criterion").asc_nulls_last()]
+    return alerts_.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def partials(notes: DataFrame, rules: Rules = DEFAULT, actions: int = 6) -> DataFrame:
+    """key N1.., criterion, documented: criteria with some answers but no note, the best documented first; as many as the weak
+    criteria leave room for among the actions."""
+    weak = notes.agg(F.count_if(F.col("note") < rules.weak_note).alias("_weak"))
+    room = F.least(F.lit(rules.items_per_section), F.greatest(F.lit(0), actions - F.least(F.lit(rules.items_per_section), F.col("_weak"))))
+    first = notes.where("note is null and documented > 0").orderBy(F.desc("documented"), "criterion").limit(rules.items_per_section)
+    n = F.row_number().over(W.orderBy(F.desc("documented"), "criterion"))
+    kept = first.withColumn("_n", n).join(weak, how="cross").where(F.col("_n") <= room)
+    return kept.select(F.concat(F.lit("N"), F.col("_n").cast("string")).alias("key"), "criterion", "documented")

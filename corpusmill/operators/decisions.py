@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import contains_phrase, count_phrase, mentions
+
 
 def relevance(semantic: Column, country: Column, financier: Column, theme: Column, language: Column, off_topic: Column) -> Column:
     """Clamped semantic score with bonuses and maluses (country 1 match, -1 other, 0 none; others are flags)."""
@@ -42,3 +44,17 @@ def normalised(weights: DataFrame, group: str, key: str, weight: str) -> DataFra
     first = F.row_number().over(W.partitionBy(group).orderBy(F.desc("cents"), key)) == 1
     rest = F.lit(10000) - F.sum("cents").over(W.partitionBy(group))
     return c.where(w.isNotNull()).select(group, key, (F.col("cents") + F.when(first, rest).otherwise(0)).alias("cents"))
+
+
+def signals(text: Column, norm: Column, head: Column, financiers: tuple[str, ...], themes: dict[str, tuple[str, ...]], off_topic: tuple[str, ...], least: int = 3) -> dict[str, Column]:
+    """Sorted terms found in a text (norm and head: its normal form, and that of its beginning): financiers, themes by their
+    terms, and words off the topic that are in the head or at least `least` times in the text."""
+    def kept(found: list[tuple[str, Column]]) -> Column:
+        return F.array_compact(F.array(*[F.when(c, name) for name, c in sorted(found, key=lambda x: x[0])]))
+
+    any_of = lambda terms: F.exists(F.array(*[contains_phrase(norm, t) for t in terms]), lambda x: x)
+    return {
+        "financiers": kept([(t, mentions(text, norm, t)) for t in financiers]),
+        "themes": kept([(name, any_of(terms)) for name, terms in themes.items()]),
+        "off_topic": kept([(t, contains_phrase(head, t) | (count_phrase(norm, t) >= least)) for t in off_topic]),
+    }

@@ -18,11 +18,11 @@ NUMBERED = "(?i)^((\\d+(\\.\\d+)*\\.?)|([IVXLC]+\\.)|((chapitre|chapter|section|
 
 
 def margins(pages: DataFrame, share: float = 0.5, rules: Rules = DEFAULT) -> DataFrame:
-    """document, side, key, pages: lines among the first or last of a page (document, page, text) that at least share of the
-    document's pages repeat; a line counts once a page and side."""
+    """document, side, key, pages: lines among the first or last of a page (document, page, text, title) that at least share of
+    the document's pages repeat; a line counts once a page and side. Pages with a title of their own are not compared."""
     n = rules.margin_lines
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    p = pages.select("document", "page", lines.alias("lines")).where(F.size("lines") > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("\\S"))
+    p = pages.where("title is null").select("document", "page", lines.alias("lines")).where(F.size("lines") > 0)
     total = p.groupBy("document").agg(F.countDistinct("page").alias("total"))
     last = F.slice("lines", F.greatest(F.size("lines") - n + 1, F.lit(1)), F.lit(n))
     sides = [p.select("document", "page", F.lit(side).alias("side"), F.explode(F.transform(part, margin_key)).alias("key")) for side, part in (("top", F.slice("lines", 1, n)), ("bottom", last))]
@@ -31,6 +31,22 @@ def margins(pages: DataFrame, share: float = 0.5, rules: Rules = DEFAULT) -> Dat
     return counts.join(total, "document").where((F.col("total") >= rules.margin_pages) & (F.col("pages") >= least)).drop("total")
 
 
+def stripped(pages: DataFrame, found: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """document, page, text: pages without those of their first and last lines whose key is among the document's repeated
+    margins of that side. Pages with a title, and texts without such lines, stay as they are."""
+    sides = found.groupBy("document").agg(*[F.collect_set(F.when(F.col("side") == x, F.col("key"))).alias(f"_{x}") for x in ("top", "bottom")])
+    n, lines = rules.margin_lines, F.split("text", "\n")
+    filled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("\\S"), i)), lambda i: i.isNotNull())
+    last = F.slice("_filled", F.greatest(F.size("_filled") - n + 1, F.lit(1)), F.lit(n))
+    # Keys are of bounded number: a margin stands on a share of all pages.
+    p = pages.join(sides, "document", "left").withColumns({"_lines": lines, "_filled": filled})
+    among = lambda part, keys: F.filter(part, lambda i: F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), margin_key(F.element_at("_lines", i + 1))))
+    p = p.withColumn("_gone", F.array_union(among(F.slice("_filled", 1, n), F.col("_top")), among(last, F.col("_bottom"))))
+    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.when(F.col("title").isNull() & (F.size("_gone") > 0), F.regexp_replace(kept, "^\\s+|\\s+$", "")).otherwise(F.col("text"))
+    return p.select("document", "page", text.alias("text"))
+
+
 def is_heading(line: Column) -> Column:
     """At most 120 characters and 14 words, numbered or without lower case (4 letters at least); one that ends in
     . , or ; must be numbered."""
@@ -55,8 +71,18 @@ def majority(votes: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     return won
 
 
+def gazetteer(texts: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """doc_id, pos, country: the names met in normalised texts (doc_id, norm), the longest first, none within another."""
+    longest = sorted(codes, key=lambda x: (-len(x.split()), x))
+    found = F.regexp_extract_all("norm", F.lit("\\b(" + "|".join(longest) + ")\\b"), 1)
+    code = F.create_map(*[F.lit(x) for name in longest for x in (name, codes[name])])
+    return texts.select("doc_id", F.posexplode(found).alias("pos", "name")).select("doc_id", "pos", F.element_at(code, F.col("name")).alias("country"))
+
+
 def sample_positions(n: Column, s: int) -> Column:
-    """Evenly spread positions among n rows, halves rounded to even; all if n <= s."""
+    """Evenly spread positions among n rows, halves rounded to even; all if n <= s, the middle one if s is 1."""
+    if s == 1:
+        return F.array((n / 2).cast("bigint"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.bround(i * (n - 1) / F.lit(s - 1), 0).cast("bigint"))
     return F.when(n <= s, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array_distinct(spread))
 
@@ -109,6 +135,20 @@ class Batches:
         return []
 
 
+def vote_starts(size: Column, window: int = 5_000, most: int = 20) -> Column:
+    """Where the windows of a text of so many characters begin, at most `most` of them, spread evenly."""
+    n = F.ceil(size / window).cast("int")
+    return F.when(n == 0, F.array().cast("array<int>")).when(n <= most, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * window)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * n / most).cast("int") * window)
+    )
+
+
+def semantic_score(segments: DataFrame, key: str, similarity: str, weight: str) -> DataFrame:
+    """key, score: the weighted mean similarity as a whole percent from 0 to 100, cut, not rounded; 0 without weight."""
+    mean = F.sum(F.col(similarity) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0))
+    return segments.groupBy(key).agg(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce((mean * 100).cast("int"), F.lit(0)))).alias("score"))
+
+
 class Packing:
     """Units (pos, tokens, heading) to segments of about target tokens with overlap; a heading opens a section, headings alone join the
     next one, and a small last segment of a section joins the one before."""
@@ -146,6 +186,13 @@ class Packing:
 
     def step(self, row):
         out = []
+        if row.tokens > self.r.segment_max:  # windows of the target size, each with the overlap of the one before
+            out += self._close() + self._give()
+            step = self.r.segment_target - self.r.segment_overlap
+            for at in range(0, max(1, row.tokens - self.r.segment_overlap), step):
+                out.append((self.key, self.no, row.pos, row.pos, min(self.r.segment_target, row.tokens - at)))
+                self.no += 1
+            return out
         if row.heading and self.unit and not all(h for _, _, h in self.unit):
             out += self._close()
             self.section += 1

@@ -35,5 +35,29 @@ def merged_spans(spans: DataFrame, group: str) -> DataFrame:
 
 
 def hourly_cap(events: DataFrame, limit: int) -> DataFrame:
-    """Stored requests of each hour, and those beyond the cap: bucketed first, so that no window spans all rows."""
-    return events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("stored"), F.greatest(F.count("*") - limit, F.lit(0)).alias("refused"))
+    """event_id, stored (others in the hour before, the event at exactly an hour before excluded), refused (the limit is
+    reached). Each event is in its own hour's partition and in the next one's, so that no window spans all rows."""
+    hour = 3_600_000_000
+    e = events.withColumn("us", F.unix_micros("ts")).withColumn("own", F.floor(F.col("us") / hour))
+    e = e.select("event_id", "us", "own", F.explode(F.array("own", F.col("own") + 1)).alias("bucket"))
+    before = F.count("*").over(W.partitionBy("bucket").orderBy("us").rangeBetween(1 - hour, 0)) - 1
+    return e.withColumn("stored", before).where("own = bucket").select("event_id", "stored", (F.col("stored") >= limit).alias("refused"))
+
+
+def joined_ranges(ranges: DataFrame, group: str) -> DataFrame:
+    """group, label: the ranges of each group in order, in one label."""
+    rows = ranges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("low", "label"))).alias("r"))
+    return rows.select(group, F.array_join(F.transform("r", lambda x: x["label"]), " ").alias("label"))
+
+
+def first_seen(rows: DataFrame, group: str, value: str, pos: str) -> DataFrame:
+    """group, values: distinct values of each group in the order in which they are first met, joined by commas."""
+    once = rows.groupBy(group, value).agg(F.min(pos).alias("_at"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v"))))
+    return once.groupBy(group).agg(ordered.alias("_r")).select(group, F.array_join(F.transform("_r", lambda x: x["v"].cast("string")), ",").alias("values"))
+
+
+def numbered(rows: DataFrame, group: str, value: str, pos: str) -> DataFrame:
+    """group, value, number: distinct values of each group, numbered in the order in which they are first met."""
+    once = rows.groupBy(group, value).agg(F.min(pos).alias("_at"))
+    return once.select(group, value, F.row_number().over(W.partitionBy(group).orderBy("_at")).alias("number"))

@@ -168,14 +168,32 @@ def retrieval_metrics(spark, sf_dir):
     return retrieval.metrics(table(spark, sf_dir, "benchmark").select("item_id"), _hybrid(spark, sf_dir), gold)
 
 
-@query(r"""WITH p AS (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), f AS (SELECT * FROM p WHERE len(l) > 0), t AS (SELECT source, count(*) AS total FROM f GROUP BY source),
-x AS (SELECT source, doc_id, 'top' AS side, unnest(l[1:3]) AS line FROM f UNION ALL SELECT source, doc_id, 'bottom', unnest(l[greatest(len(l) - 2, 1):len(l)]) FROM f),
-k AS (SELECT DISTINCT source, doc_id, side, trim(regexp_replace(lower(trim(regexp_replace(line, '[ \t\n\r]+', ' ', 'g'))), '^(page )?[-– ]*[0-9]+( */ *[0-9]+)?[-– ]*|[-– ]*(page )?[0-9]+( */ *[0-9]+)?[-– ]*$', '', 'g')) AS k FROM x),
-c AS (SELECT source, side, CASE WHEN k = '' THEN '#' ELSE k END AS key, count(*) AS pages FROM k WHERE length(k) <= 150 GROUP BY ALL)
-SELECT source AS document, side, key, pages FROM c JOIN t USING (source) WHERE total >= 3 AND pages >= greatest(3, ceil(total * 0.01))""")
+_NUMBER = r"[-–—|·•\s]*(page|p\.)?\s*\d+(\s*(/|sur|of|de)\s*\d+)?[-–—|·•\s]*"
+_KEY = rf"""trim(regexp_replace(CASE WHEN regexp_full_match(v, '{_NUMBER}') THEN '' ELSE regexp_replace(v, '(\D){_NUMBER}$', '\1') END, '^{_NUMBER}', ''))"""
+_MARGINS = rf"""WITH n AS (SELECT source, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'sheet' END AS title FROM documents), li AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM n WHERE title IS NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS z, trim(lower(regexp_replace(line, '\s+', ' ', 'g'))) AS v FROM li WHERE regexp_matches(line, '\S')),
+t AS (SELECT source, count(DISTINCT doc_id) AS total FROM f GROUP BY source), kx AS (SELECT *, CASE WHEN {_KEY} = '' THEN '#' ELSE {_KEY} END AS key FROM f WHERE a <= 3 OR z <= 3),
+k AS (SELECT DISTINCT source, doc_id, 'top' AS side, key FROM kx WHERE a <= 3 UNION SELECT DISTINCT source, doc_id, 'bottom', key FROM kx WHERE z <= 3), c AS (SELECT source, side, key, count(*) AS pages FROM k WHERE length(key) <= 150 GROUP BY ALL),
+ma AS (SELECT source, side, key, pages FROM c JOIN t USING (source) WHERE total >= 3 AND pages >= greatest(3, ceil(total * 0.01)))
+"""
+
+
+def _pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text", F.when(F.col("doc_id") % 7 == 0, "sheet").alias("title"))
+
+
+@query(_MARGINS + "SELECT source AS document, side, key, pages FROM ma")
 def repeated_margins(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text")
-    return ingestion.margins(pages, 0.01)
+    return ingestion.margins(_pages(spark, sf_dir), 0.01)
+
+
+@query(_MARGINS + r""", g AS (SELECT DISTINCT doc_id, i FROM kx WHERE a <= 3 AND (source, key) IN (SELECT (source, key) FROM ma WHERE side = 'top') UNION SELECT doc_id, i FROM kx WHERE z <= 3 AND (source, key) IN (SELECT (source, key) FROM ma WHERE side = 'bottom')),
+s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM li WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM g) GROUP BY doc_id)
+SELECT n.source AS document, n.doc_id AS page, sha256(CASE WHEN n.doc_id IN (SELECT doc_id FROM g) THEN regexp_replace(coalesce(kept, ''), '^\s+|\s+$', '', 'g') ELSE text END) AS text_sha256 FROM n LEFT JOIN s USING (doc_id)""")
+def stripped_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return ingestion.stripped(pages, ingestion.margins(pages, 0.01)).select("document", "page", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS v FROM documents), f AS (SELECT doc_id, v, len(regexp_split_to_array(v, '\s+')) AS words,
@@ -285,5 +303,5 @@ def ban_state(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_ingest_counts(spark, sf_dir):
-    out = counts.ingested(spark, f"{sf_dir}/events.parquet", counts.place(spark, "stream"))
+    out = counts.ingested(spark, f"{sf_dir}/events*.parquet", counts.place(spark, "stream"))
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))

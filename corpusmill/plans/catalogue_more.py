@@ -33,9 +33,10 @@ def span_merge(spark, sf_dir):
     return ordered.merged_spans(s, "l_suppkey")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS stored, greatest(count(*) - 5, 0) AS refused FROM events WHERE event_type = 'purchase' GROUP BY 1")
+@query("""WITH e AS (SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) - 1 AS stored FROM events WHERE event_type = 'purchase')
+SELECT event_id, stored, stored >= 2 AS refused FROM e""")
 def global_hourly_cap(spark, sf_dir):
-    return ordered.hourly_cap(table(spark, sf_dir, "events").where("event_type = 'purchase'"), 5).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return ordered.hourly_cap(table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp")), 2)
 
 
 @query("""WITH a AS (SELECT vec_id % 7 AS criterion, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE (vec_id * 7) % 4 END AS note FROM embeddings WHERE vec_id % 25 = 0)
@@ -55,6 +56,11 @@ def ingestion_decision(spark, sf_dir):
     return o.withColumn("score", score).select("o_orderkey", "score", decisions.decision(F.col("score"), F.col("country"), F.col("off")).alias("decision"))
 
 
-@query("SELECT c_custkey, CASE WHEN left(c_name, 1) IN ('=', '+', '-', '@') THEN '''' || c_name ELSE c_name END AS cell, left(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM customer")
+_CELL = "CASE c_custkey % 7 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) WHEN 5 THEN chr(13) ELSE '' END || c_name"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN left(x, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN chr(39) || x ELSE x END AS cell,
+left(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM (SELECT c_custkey, c_name, {_CELL} AS x FROM customer)""")
 def report_cells(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", text.csv_cell("c_name").alias("cell"), text.slug("c_name").alias("slug"))
+    c = table(spark, sf_dir, "customer").withColumn("x", F.expr(_CELL))
+    return c.select("c_custkey", text.csv_cell("x").alias("cell"), text.slug("c_name").alias("slug"))

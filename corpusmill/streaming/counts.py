@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one is set only where that is unset."""
+    """A new folder below spark.checkpoint.dir; a local one is set only where that is unset, on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -24,16 +26,16 @@ def hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").alias("hour"), "event_type", "events")
 
 
-def ingested(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Counts of all event files at path, taken as a stream until none is left. Updates of each micro-batch are written under its
-    own number, so that a repeated batch replaces itself; the last update of a window holds."""
-    schema = spark.read.parquet(path).schema
+def ingested(spark: SparkSession, pattern: str, out: str) -> DataFrame:
+    """Counts of all event files that fit a path pattern, taken as a stream until none is left. Another run
+    with the same out goes on from its checkpoint and takes new files only. Updates of each micro-batch are written under
+    its own number, so that a repeated batch replaces itself; the last update of a window holds."""
+    schema = spark.read.parquet(pattern).schema
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-    # As a pattern, the path may be one file as well as a folder.
-    stream = hourly(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"))
+    stream = hourly(spark.readStream.schema(schema).parquet(pattern))
     query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema("hour timestamp, event_type string, events long, batch long").parquet(f"{out}/rows")

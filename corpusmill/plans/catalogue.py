@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import norm
 from corpusmill.operators import layer_a, retrieval
-from corpusmill.sources.tables import document_versions, probes, segments, table
+from corpusmill.sources.tables import document_versions, probes, segments, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Up to so many keys are sent to each row as one array; more are joined.
+FEW_KEYS = 5_000
+
+
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -155,7 +159,7 @@ def weight_shares(spark, sf_dir):
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(replace(d.text, chr(173), ''), '\\s+', ' ', 'g')), lower(regexp_replace(replace(b.text, chr(173), ''), '\\s+', ' ', 'g')))""")
 def gold_hits(spark, sf_dir):
     flat = lambda c: F.lower(F.regexp_replace(F.translate(c, "\u00ad", ""), "\\s+", " "))
-    d = table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("norm"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", flat("text").alias("norm"))
     b = table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("quote"))
     # An item's second to fourth words are a key that every containing text has: an equi-join, then the exact test.
     key = F.array_join(F.slice(F.split(F.trim("quote"), " "), 2, 3), " ")
@@ -163,6 +167,9 @@ def gold_hits(spark, sf_dir):
     triples = NGram(n=3, inputCol="words", outputCol="grams").transform(d.select("doc_id", F.split("norm", " ").alias("words")))
     short = F.size(F.split(F.trim("quote"), " ")) < 5
     wanted = b.where(~short).select("item_id", key.alias("key"))
+    if wanted.count() <= FEW_KEYS:  # few keys are met within each array, so that only hits become rows
+        keys = wanted.agg(F.collect_set("key").alias("keys"))
+        triples = triples.join(F.broadcast(keys), how="cross").withColumn("grams", F.array_intersect("grams", "keys"))
     found = triples.select("doc_id", F.explode("grams").alias("key")).join(wanted, "key").select("doc_id", "item_id").distinct()
     long = d.join(found, "doc_id").join(b, "item_id").where(F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id").distinct()
     few = d.join(b.where(short), F.col("norm").contains(F.col("quote"))).select("doc_id", "item_id")

@@ -11,18 +11,18 @@ from corpusmill.functions import passages, text
 from corpusmill.operators import frameworks, ingestion
 from corpusmill.plans.catalogue import query
 from corpusmill.plans.catalogue_text import _CITED
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 
 @query()
 def sentence_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(passages.sentence_spans()("text")).alias("sentence", "s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(passages.sentence_spans()("text")).alias("sentence", "s"))
     return d.select("doc_id", "sentence", "s.start", "s.end")
 
 
 @query()
 def first_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(passages.excerpts(400)("text")).alias("sentence", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(passages.excerpts(400)("text")).alias("sentence", "text"))
 
 
 #: Where each page of a conversation is cut in its first word of four letters and more: 'th-\nis'.
@@ -52,7 +52,7 @@ def cited_texts(spark, sf_dir):
 def aligned_items(spark, sf_dir):
     """Benchmark items aligned with the documents that have most of their words of four letters and more."""
     words = lambda c: F.split(text.normalised(c), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("page"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("page"))
     b = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("excerpt"))
     keys = lambda df, key, c: df.select(key, F.explode(F.array_distinct(F.filter(c, lambda x: F.length(x) > 3))).alias("w"))
     own = keys(b, "item_id", "excerpt")

@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where they are read in fewer splits (a small file of one row group); a table of many splits
+    is left as it is, so that nothing large is shuffled. For texts on which much work is done."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def segments(embeddings: DataFrame) -> DataFrame:
     """segment_id, document_id, vector (double)."""
     return embeddings.select(F.col("vec_id").alias("segment_id"), (F.col("vec_id") % 50).alias("document_id"), F.col("embedding").cast("array<double>").alias("vector"))

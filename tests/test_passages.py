@@ -23,7 +23,7 @@ def test_passages_and_excerpts():
     t = "Une éva-\nluation  utile. Deux. Trois."
     assert cleaned(t) == "Une évaluation utile. Deux. Trois."
     assert passage_of(t, [(25, 30), (0, 24)]) == "Une évaluation utile. Deux." and passage_of("abcdef ghi", [(0, 3), (7, 10), (2, 2)]) == "abc … ghi"
-    assert excerpt_of("Un mot. Deux mots. Trois mots.", 19) == ["Un mot.", "Deux mots."] and excerpt_of("mot " * 50, 20) == ["mot mot mot mot mot…"]
+    assert excerpt_of("Un mot. Deux mots. Trois mots.", 19) == ["Un mot.", "Deux mots."] and excerpt_of("mot " * 50, 20) == ["mot mot mot mot…"]
 
 
 def test_markers():

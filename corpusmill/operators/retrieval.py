@@ -34,6 +34,30 @@ def fused(by_vector: DataFrame, by_words: DataFrame, rules: Rules = DEFAULT) ->
     return v.join(w, ["query_id", "segment_id"], "full").select("query_id", "segment_id", (part("rv") + part("rw")).alias("score"))
 
 
+def ranks(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, segment_id, rank of the wanted (query_id, segment_id) among all pairs (query_id, segment_id, value) of their query,
+    higher values first, ties by segment id. Pairs are counted between the wanted ones, not sorted: no task holds a ranking."""
+    key = F.struct((-F.col("value")).alias("v"), F.col("segment_id").alias("s"))
+    marks = pairs.join(wanted, ["query_id", "segment_id"], "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(key)).alias("marks"))
+    before = F.size(F.filter("marks", lambda m: m < key))
+    counts = pairs.join(marks, "query_id").groupBy("query_id", before.alias("at")).agg(F.count("*").alias("n"))
+    upto = counts.select("query_id", "at", F.sum("n").over(W.partitionBy("query_id").orderBy("at")).alias("rank"))
+    return marks.select("query_id", F.posexplode("marks").alias("at", "m")).join(upto, ["query_id", "at"]).select("query_id", F.col("m.s").alias("segment_id"), "rank")
+
+
+def hybrid(by_vector: DataFrame, by_words: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """query_id, segment_id, score, place: the top_k of each query by reciprocal rank fusion of two whole rankings (query_id,
+    segment_id, value). Beyond place rrf_k + 2 * top_k of both, a score is below that of place top_k of one alone, so that
+    only segments above it in some ranking are fused, each with its rank among all."""
+    reach = rules.rrf_k + 2 * rules.top_k
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("value"), "segment_id"))
+    top = lambda x: x.withColumn("_n", best).where(F.col("_n") <= reach).select("query_id", "segment_id")
+    wanted = top(by_vector).union(top(by_words)).distinct()
+    both = fused(ranks(by_vector, wanted), ranks(by_words, wanted), rules)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "segment_id"))
+    return both.withColumn("place", place).where(F.col("place") <= rules.top_k)
+
+
 def metrics(questions: DataFrame, sent: DataFrame, gold: DataFrame) -> DataFrame:
     """One row of means, each over its own questions (NULL if there are none): recall, hit rate and reciprocal rank over questions with
     gold, precision over those with extracts, the share without extracts over those without gold."""

@@ -131,9 +131,9 @@ def segments_without_match(spark, sf_dir):
 
 
 _HYBRID = r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark),
-n AS (SELECT item_id, doc_id, count(*) AS n FROM q JOIN t USING (w) WHERE w <> '' GROUP BY ALL), rw AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM n QUALIFY rank <= 20),
+n AS (SELECT item_id, doc_id, count(*) AS n FROM q JOIN t USING (w) WHERE w <> '' GROUP BY ALL), rw AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM n),
 v AS (SELECT q.vec_id AS item_id, s.vec_id AS doc_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS similarity FROM embeddings q, embeddings s WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND s.vec_id <> q.vec_id),
-rv AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM v QUALIFY rank <= 20),
+rv AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM v),
 fu AS (SELECT item_id, doc_id, coalesce(1.0 / (60 + rv.rank), 0) + coalesce(1.0 / (60 + rw.rank), 0) AS score FROM rv FULL JOIN rw USING (item_id, doc_id)),
 hy AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS place FROM fu QUALIFY place <= 8)
 """
@@ -145,11 +145,9 @@ def _hybrid(spark, sf_dir):
     queries = s.join(b.select(F.col("item_id").alias("segment_id")).distinct(), "segment_id", "left_semi").select(F.col("segment_id").alias("query_id"), "vector")
     words = lambda df, name: df.select(F.col(df.columns[0]).alias(name), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("w <> ''")
     shared = words(d.select("doc_id", "text"), "segment_id").join(words(b.select("item_id", "text"), "query_id"), "w").groupBy("query_id", "segment_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "segment_id"))
-    by_words = shared.withColumn("rank", rank).where("rank <= 20")
-    both = retrieval.fused(retrieval.nearest(queries, s, 20), by_words)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "segment_id"))
-    return both.withColumn("place", place).where("place <= 8").select(F.col("query_id").alias("item_id"), F.col("segment_id").alias("doc_id"), "score", "place")
+    near = products(s, queries, "query_id").select("query_id", "segment_id", F.col("similarity").alias("value"))
+    both = retrieval.hybrid(near, shared.withColumnRenamed("n", "value"))
+    return both.select(F.col("query_id").alias("item_id"), F.col("segment_id").alias("doc_id"), "score", "place")
 
 
 @query(_HYBRID + "SELECT item_id, doc_id, round(CAST(score AS DOUBLE), 6) AS score, place FROM hy")
@@ -205,10 +203,10 @@ def heading_flags(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(ingestion.is_heading(F.col("line"))).alias("headings"))
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations")
 def section_carry_forward(spark, sf_dir):
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    title = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    title = F.when(F.col("role") == "user", F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(title, ignorenulls=True).over(w).alias("section"))
 
 

@@ -12,3 +12,31 @@ def test_diversified_beyond_the_nearest(spark, tmp_path):
     spark.createDataFrame([(v, e, 0) for v, e in rows], "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalogue.diversified_topk(spark, str(tmp_path)).where("query_id = 0").collect()
     assert sorted(r.document_id for r in got) == [1, 1, 1, 2, 2, 2, 3, 4]
+
+
+def test_hybrid_takes_what_is_far_down_in_both_rankings(spark):
+    import random
+
+    from corpusmill.operators.retrieval import hybrid
+
+    draw = random.Random(3)
+    n, lists = 400, []
+    for common in range(2):
+        # The first 20 of each list are its own; those that follow are ranked in both.
+        order = [f for f in range(common * 20, common * 20 + 20)] + [40 + i for i in range(n - 40)]
+        tail = order[30:]
+        draw.shuffle(tail)
+        lists.append(order[:30] + tail)
+    frames = [spark.createDataFrame([(q, s, float(n - i - i % 2)) for q in (1, 2) for i, s in enumerate(ids)], "query_id long, segment_id long, value double") for ids in lists]
+    want = []
+    for q in (1, 2):
+        score = {}
+        for ids in lists:
+            ranked = sorted(((n - i - i % 2, -s) for i, s in enumerate(ids)), reverse=True)
+            for r, (_, s) in enumerate(ranked, 1):
+                score[-s] = score.get(-s, 0) + 1 / (60 + r)
+        best = sorted(score, key=lambda s: (-round(score[s], 9), s))[:8]
+        assert any(40 <= s < 50 for s in best)  # beyond place 20 of both
+        want += [(q, s, place) for place, s in enumerate(best, 1)]
+    got = hybrid(*frames)
+    assert sorted((r.query_id, r.segment_id, r.place) for r in got.collect()) == want

@@ -125,12 +125,35 @@ def placed(alerts_: DataFrame) -> DataFrame:
     return alerts_.withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
-def partials(notes: DataFrame, rules: Rules = DEFAULT, actions: int = 6) -> DataFrame:
-    """key N1.., criterion, documented: criteria with some answers but no note, the best documented first; as many as the weak
-    criteria leave room for among the actions."""
-    weak = notes.agg(F.count_if(F.col("note") < rules.weak_note).alias("_weak"))
-    room = F.least(F.lit(rules.items_per_section), F.greatest(F.lit(0), actions - F.least(F.lit(rules.items_per_section), F.col("_weak"))))
-    first = notes.where("note is null and documented > 0").orderBy(F.desc("documented"), "criterion").limit(rules.items_per_section)
-    n = F.row_number().over(W.orderBy(F.desc("documented"), "criterion"))
-    kept = first.withColumn("_n", n).join(weak, how="cross").where(F.col("_n") <= room)
-    return kept.select(F.concat(F.lit("N"), F.col("_n").cast("string")).alias("key"), "criterion", "documented")
+def verifications(alerts_: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """key V1.., rule, severity, pillar, order_index, criterion: the first alerts with evidence in the report's order."""
+    order = [(F.col("severity") != "majeure"), F.col("rule"), F.col("pillar"), F.col("order_index"), F.col("criterion").asc_nulls_last()]
+    return _keyed(alerts_.select("rule", "severity", "pillar", "order_index", "criterion"), "V", order, rules)
+
+
+def partials(notes: DataFrame, by_criterion: DataFrame, weak: DataFrame, verify: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """key N1.., criterion, documented, total: criteria without a note but with evidence, the best documented first, as many as
+    weaknesses and verifications leave of the actions."""
+    taken = weak.select("key").union(verify.select("key")).agg(F.count("*").alias("_taken"))
+    some = notes.where("reason <> 'concluded'").join(by_criterion.select("criterion").distinct(), "criterion", "left_semi")
+    order = [F.desc("documented"), F.col("criterion")]
+    first = some.orderBy(*order).limit(rules.actions).withColumn("_n", F.row_number().over(W.orderBy(*order)))
+    kept = first.join(taken, how="cross").where(F.col("_n") <= rules.actions - F.col("_taken"))
+    return kept.select(F.concat(F.lit("N"), F.col("_n").cast("string")).alias("key"), "criterion", "documented", "total")
+
+
+def origins(weak: DataFrame, verify: DataFrame, partial: DataFrame) -> DataFrame:
+    """key, origin, id: what actions may start from."""
+    w = weak.select("key", "origin", "id")
+    v = verify.select("key", F.lit("alert").alias("origin"), F.col("pillar").cast("bigint").alias("id"))
+    return w.union(v).union(partial.select("key", F.lit("criterion").alias("origin"), F.col("criterion").cast("bigint").alias("id")))
+
+
+def complete_actions(projections: DataFrame, known: DataFrame, personas: list[str], rules: Rules = DEFAULT) -> DataFrame:
+    """action, origin, reason_chars of actions whose origin is known and for which every persona has a text and a reason of enough
+    characters: projections (action, origin, pos, persona, text, reason); of several for a persona the first counts."""
+    p = projections.where(F.col("persona").isin(personas)).join(known.select("origin").distinct(), "origin", "left_semi")
+    first = p.groupBy("action", "origin", "persona").agg(F.min_by(F.struct("text", "reason"), "pos").alias("x"))
+    size = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0))
+    good = first.where((size("x.text") > 0) & (size("x.reason") >= rules.reason_chars))
+    return good.groupBy("action", "origin").agg(F.count("*").alias("_n"), F.sum(size("x.reason")).alias("reason_chars")).where(F.col("_n") == len(personas)).drop("_n")

@@ -33,3 +33,18 @@ def template(candidates: DataFrame, most: int = 8) -> DataFrame:
     score = fits + 2 * F.size(F.array_intersect("tokens", "wanted")) + (F.col("weight") / 100).cast("decimal(10,2)")
     place = F.row_number().over(W.partitionBy("framework").orderBy(F.desc("score"), "pillar"))
     return candidates.withColumn("score", score).withColumn("place", place).where(F.col("place") <= most).select("framework", "pillar", "place")
+
+
+def kept_translations(candidates: DataFrame, locales: list[str]) -> DataFrame:
+    """pillar, locale, name: the first translation (pillar, locale, pos, name) of each expected locale that has a name."""
+    valid = candidates.where(F.col("locale").isin(locales) & (F.trim("name") != ""))
+    return valid.groupBy("pillar", "locale").agg(F.min_by("name", "pos").alias("name"))
+
+
+def reused_translations(pillars: DataFrame, kept: DataFrame, references: DataFrame, official: DataFrame) -> DataFrame:
+    """pillar, locale, name, official: kept translations (pillar, locale, name), and the official ones (reference, locale, name) in
+    their place for pillars (pillar, reference, name, description) that have the reference's name and description unchanged."""
+    same = pillars.join(references, ["reference", "name", "description"], "left_semi").select("pillar", "reference")
+    taken = same.join(official, "reference").select("pillar", "locale", F.col("name").alias("_official"))
+    both = kept.join(taken, ["pillar", "locale"], "full")
+    return both.select("pillar", "locale", F.coalesce("_official", "name").alias("name"), F.col("_official").isNotNull().alias("official"))

@@ -68,3 +68,12 @@ def localised(translations: Column, text: Column, locale: str) -> Column:
     from corpusmill.functions.text import plain
 
     return plain(F.coalesce(*[F.nullif(F.try_element_at(translations, F.lit(x)), F.lit("")) for x in (locale, "en", "fr")], text))
+
+
+def metered(tasks: DataFrame, calls: DataFrame, key: str, price: str) -> DataFrame:
+    """key, calls, tokens, cost_eur of each task, those without calls included: what its successful calls (key, tokens, ok) used, at a
+    price for a million tokens; halves of the sixth digit go to the even one."""
+    used = calls.where("ok").groupBy(key).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    every = tasks.select(key).distinct().join(used, key, "left").fillna(0, ["calls", "tokens"])
+    micro = F.bround(F.col("tokens").cast("decimal(20,0)") * F.lit(price).cast("decimal(6,2)"), 0)
+    return every.withColumn("cost_eur", micro.cast("double") / 1_000_000)

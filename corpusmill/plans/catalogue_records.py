@@ -226,13 +226,6 @@ def alerts_ordered(spark, sf_dir):
     return assessment.placed(found).select("rule", "severity", "pillar", "order_index", "criterion", "place")
 
 
-@query(_B + """, b AS (SELECT count(*) FILTER (WHERE note < 2.4) AS weak FROM nt), x AS (SELECT criterion, documented, row_number() OVER (ORDER BY documented DESC, criterion) AS n FROM nt WHERE note IS NULL AND documented > 0)
-SELECT 'N' || n AS key, criterion, documented FROM x, b WHERE n <= least(3, greatest(0, 6 - least(3, weak)))""")
-def findings_partial(spark, sf_dir):
-    notes = _layer_b(spark, sf_dir)[2]
-    return assessment.partials(notes)
-
-
 @query("""SELECT n_nationkey, n_name, coalesce(r_name, '—') AS region FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3""")
 def labels_with_default(spark, sf_dir):
     r = table(spark, sf_dir, "region").where("r_regionkey <> 3")

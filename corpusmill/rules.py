@@ -28,6 +28,8 @@ class Rules:
     weak_score: float = 80.0
     weak_note: float = 2.4
     items_per_section: int = 3
+    actions: int = 6
+    reason_chars: int = 120
     limits_from: int = 2
     margin_lines: int = 3
     margin_pages: int = 3

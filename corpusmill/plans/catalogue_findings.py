@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import assessment, frameworks, records, retrieval
 from corpusmill.plans.catalogue import ORACLES, gold_hits, query
 from corpusmill.plans.catalogue_assess import _B, _HYBRID, _hybrid, _layer_c
+from corpusmill.rules import DEFAULT
 from corpusmill.sources.tables import probes, segments, table
 from corpusmill.streaming import classified, counts, guard
 
@@ -20,11 +23,11 @@ ne AS (SELECT * FROM nx WHERE n <= 6 - (SELECT count(*) FROM we) - (SELECT count
 """
 
 
-def _findings(spark, sf_dir):
+def _findings(spark, sf_dir, rules=DEFAULT):
     found = _layer_c(spark, sf_dir)
     _, notes, alerts, _, by_criterion = found
     weak, verify = assessment.weaknesses(*found), assessment.verifications(alerts)
-    return weak, verify, assessment.partials(notes, by_criterion, weak, verify)
+    return weak, verify, assessment.partials(notes, by_criterion, weak, verify, rules)
 
 
 @query(_FINDINGS + "SELECT 'V' || n AS key, rule, severity, pillar, order_index, criterion FROM ve")
@@ -32,9 +35,10 @@ def findings_to_verify(spark, sf_dir):
     return assessment.verifications(_layer_c(spark, sf_dir)[2])
 
 
-@query(_FINDINGS + "SELECT 'N' || n AS key, criterion, documented, total FROM ne")
+@query(_FINDINGS.replace("n <= 6 -", "n <= 10 -") + "SELECT 'N' || n AS key, criterion, documented, total FROM ne")
 def findings_partial(spark, sf_dir):
-    return _findings(spark, sf_dir)[2]
+    """With room for ten actions, since weaknesses and alerts take the usual six in these tables."""
+    return _findings(spark, sf_dir, replace(DEFAULT, actions=10))[2]
 
 
 @query(_FINDINGS + "SELECT 'W' || n AS key, origin, id FROM we UNION ALL SELECT 'V' || n, 'alert', CAST(pillar AS BIGINT) FROM ve UNION ALL SELECT 'N' || n, 'criterion', criterion FROM ne")

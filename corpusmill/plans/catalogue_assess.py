@@ -279,7 +279,15 @@ def citation_numbers(spark, sf_dir):
 _TOKENS = "regexp_extract_all(text, '\\\\p{L}+|\\\\p{N}+|[^\\\\s\\\\p{L}\\\\p{N}]', 0)"
 
 
-@query()
+#: Batches as a recursion over each conversation's turns; a relation t (conv_id, pos, tokens) comes before it.
+def _batches(most_rows: int, most_tokens: int) -> str:
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS r FROM t WHERE conv_id IS NOT NULL),
+f AS (SELECT conv_id, pos, r, 0 AS batch, 1 AS held, tokens AS total FROM n WHERE r = 1
+UNION ALL SELECT conv_id, pos, r, CASE WHEN goes THEN batch + 1 ELSE batch END, CASE WHEN goes THEN 1 ELSE held + 1 END, CASE WHEN goes THEN tokens ELSE total + tokens END
+  FROM (SELECT n.conv_id, n.pos, n.r, n.tokens, f.batch, f.held, f.total, f.held + 1 > {most_rows} OR f.total + n.tokens > {most_tokens} AS goes FROM f JOIN n ON n.conv_id = f.conv_id AND n.r = f.r + 1))"""
+
+
+@query("WITH RECURSIVE t AS (SELECT conv_id, turn AS pos, coalesce(len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]')), 0) AS tokens FROM conversations), " + _batches(3, 400) + " SELECT conv_id, pos AS turn, batch FROM f")
 def token_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn AS pos", f"coalesce(size({_TOKENS}), 0) AS tokens")
     return ingestion.folded(rows, "conv_id", ["pos"], partial(ingestion.Batches, most_rows=3, most_tokens=400), "conv_id long, turn long, batch int")
@@ -292,7 +300,16 @@ def segment_pages(spark, sf_dir):
     return ingestion.folded(rows, "doc_id", ["pos"], ingestion.Packing, "doc_id long, segment int, first_line int, last_line int, tokens int")
 
 
-@query()
+#: The guard as a recursion over each user's events.
+_GUARD = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT user_id, event_id, r, false AS blocked, CAST(NULL AS BIGINT) AS until, [us] AS seen FROM e WHERE r = 1
+UNION ALL SELECT user_id, event_id, r, banned OR len(seen) > 5, CASE WHEN banned THEN until WHEN len(seen) > 5 THEN us + 43200000000 END, CASE WHEN NOT banned AND len(seen) > 5 THEN [] ELSE seen END
+  FROM (SELECT e.user_id, e.event_id, e.r, e.us, f.until, coalesce(e.us < f.until, false) AS banned,
+    CASE WHEN coalesce(e.us < f.until, false) THEN f.seen ELSE list_append(list_filter(f.seen, lambda x: x > e.us - 86400000000), e.us) END AS seen FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+SELECT user_id, event_id, blocked FROM f"""
+
+
+@query(_GUARD)
 def ban_state(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     hour = 3_600_000_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import assessment, frameworks, records, retrieval
 from corpusmill.plans.catalogue import ORACLES, gold_hits, query
-from corpusmill.plans.catalogue_assess import _B, _HYBRID, _hybrid, _layer_c
+from corpusmill.plans.catalogue_assess import _B, _GUARD, _HYBRID, _hybrid, _layer_c
 from corpusmill.rules import DEFAULT
 from corpusmill.sources.tables import probes, segments, table
 from corpusmill.streaming import classified, counts, guard
@@ -109,7 +109,7 @@ def stream_probe_matches(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_GUARD)
 def stream_guard(spark, sf_dir):
     hour = 3_600_000_000
     return guard.guarded(spark, f"{sf_dir}/events*.parquet", counts.place(spark, "guard"), 5, 24 * hour, 12 * hour)

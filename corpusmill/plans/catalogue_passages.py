@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import passages, text
 from corpusmill.operators import frameworks, ingestion
 from corpusmill.plans.catalogue import query
+from corpusmill.plans.catalogue_assess import _batches
 from corpusmill.plans.catalogue_text import _CITED
 from corpusmill.sources.tables import spread, table
 
@@ -90,7 +91,9 @@ def template_pillars(spark, sf_dir):
     return frameworks.template(f.join(refs, "part"))
 
 
-@query()
+@query("WITH RECURSIVE t AS (SELECT conv_id, turn AS pos, CAST(ceil(length(text) / 3.0) AS INTEGER) AS tokens, sha256(text) AS excerpt FROM conversations), " + _batches(10, 300) + """,
+x AS (SELECT f.*, excerpt, row_number() OVER (PARTITION BY f.conv_id, batch ORDER BY f.pos) AS q, min(f.pos) OVER (PARTITION BY f.conv_id, batch, excerpt) AS first FROM f JOIN t ON t.conv_id = f.conv_id AND t.pos = f.pos)
+SELECT conv_id, batch, 'Q' || q AS question, 'E' || dense_rank() OVER (PARTITION BY conv_id, batch ORDER BY first) AS excerpt FROM x""")
 def call_batches(spark, sf_dir):
     """Turns of a conversation packed into calls of at most 300 tokens in, with keys of questions and of distinct texts."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.ceil(F.length("text") / 3).cast("int").alias("tokens"), F.sha2("text", 256).alias("excerpt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard, langid, pieces, substrings
-from corpusmill.llm.shared import saved, table
+from corpusmill.llm.shared import saved, settled, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one whose doc_id is the group's."""
-    others = jaccard.joined(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    others = settled(spark, lambda: jaccard.joined(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
     return docs.join(others, docs["doc_id"] == others["_id"], "left_anti")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, imatch, jaccard, langid, pieces, quality, sharding, substrings, urlrules, warc
+from corpusmill.llm import decontaminate, divergence, imatch, jaccard, langid, licences, pieces, quality, sharding, substrings, urlrules, warc
 from corpusmill.llm.shared import new_path, table
 
 
@@ -52,6 +52,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_predict(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(licences.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_passages": op4_passages,
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op12_divergence": op12_divergence,
+    "op13_licences": op13_licences,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
@@ -70,4 +80,6 @@ ORACLES: dict[str, str] = {
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f""",
+    "op12_divergence": divergence.ORACLE,
+    "op13_licences": licences.oracle(),
 }

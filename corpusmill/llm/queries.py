@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, divergence, imatch, jaccard, langid, licences, pieces, quality, sharding, substrings, urlrules, warc
+from corpusmill.llm import decontaminate, divergence, imatch, jaccard, langid, licences, pieces, prefixes, quality, sharding, substrings, urlrules, warc
 from corpusmill.llm.shared import new_path, table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_predict(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_divergence": op12_divergence,
     "op13_licences": op13_licences,
 }
@@ -80,6 +85,7 @@ ORACLES: dict[str, str] = {
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f""",
+    "op11_prefix_trie": prefixes.ORACLE,
     "op12_divergence": divergence.ORACLE,
     "op13_licences": licences.oracle(),
 }

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,6 +123,23 @@ def _among(cells: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return found
 
 
+def _extremes(met: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Distinct (language, digest), and the smallest and largest string of each in the order of UTF-8, that of code points."""
+    lang, digest = (np.concatenate([m[k] for m in met]) for k in (0, 1))
+    coded = pa.chunked_array([m[2] for m in met]).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((codes, digest, lang))
+    lang, digest, codes = lang[order], digest[order], codes[order]
+    first = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (digest[1:] != digest[:-1])])
+    end = np.r_[first[1:], len(lang)]
+    low, high = codes[first], codes[end - 1]
+    for k in np.flatnonzero(low != high):  # more than one string
+        every = np.unique(codes[first[k] : end[k]])
+        words_ = coded.dictionary.take(pa.array(every)).to_pylist()
+        low[k], high[k] = every[words_.index(min(words_))], every[words_.index(max(words_))]
+    return lang[first], digest[first], coded.dictionary.take(pa.array(low)), coded.dictionary.take(pa.array(high))
+
+
 COUNTED = "lang string, source string, digest long, term string, n long, docs long, low string, high string"
 
 
@@ -135,7 +151,8 @@ def _counts(filtered, bits: int, by_term: bool):
         cells = filtered.value
         ids: dict[tuple[str, str], int] = {}
         langs: dict[str, int] = {}
-        seen: dict[tuple, list] = {}  # (lang, digest) to the smallest and largest string; by term (group, digest, term) to n and docs
+        seen: dict[tuple, list] = {}  # (group, digest, term) to n and docs
+        met: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # languages, digests and strings of a chunk's terms
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows(size, **columns):
@@ -151,21 +168,25 @@ def _counts(filtered, bits: int, by_term: bool):
                     b = slice(a, a + 50_000)
                     group = pa.array(keys[0][b])
                     yield rows(len(group), lang=lang.take(group), source=source.take(group), digest=pa.array(keys[1][b].view(np.int64)), n=pa.array(n[b]))
+            if met:
+                of = pa.array(list(langs), pa.string())
+                lang, digest, low, high = _extremes(met)
+                met.clear()
+                for a in range(0, len(lang), 50_000):
+                    b = slice(a, a + 50_000)
+                    yield rows(len(lang[b]), lang=of.take(pa.array(lang[b])), digest=pa.array(digest[b].view(np.int64)), low=low[b], high=high[b])
             items = list(seen.items())
             seen.clear()
             for a in range(0, len(items), 50_000):
                 part = items[a : a + 50_000]
-                if by_term:
-                    g = [k[0] for k, _ in part]
-                    yield rows(len(part), lang=pa.array([x[0] for x in g]), source=pa.array([x[1] for x in g]), digest=pa.array([k[1] for k, _ in part]), term=pa.array([k[2] for k, _ in part]), n=pa.array([v[0] for _, v in part]), docs=pa.array([v[1] for _, v in part]))
-                else:
-                    yield rows(len(part), lang=pa.array([k[0] for k, _ in part]), digest=pa.array([k[1] for k, _ in part]), low=pa.array([v[0] for _, v in part]), high=pa.array([v[1] for _, v in part]))
+                g = [k[0] for k, _ in part]
+                yield rows(len(part), lang=pa.array([x[0] for x in g]), source=pa.array([x[1] for x in g]), digest=pa.array([k[1] for k, _ in part]), term=pa.array([k[2] for k, _ in part]), n=pa.array([v[0] for _, v in part]), docs=pa.array([v[1] for _, v in part]))
 
         for batch in batches:
             names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             group = np.array([ids.setdefault(x, len(ids)) for x in names], dtype=np.int64)
             lang = np.array([langs.setdefault(x[0], len(langs)) for x in names], dtype=np.int64)
-            of_group, of_lang = list(ids), list(langs)
+            of_group = list(ids)
             data, offsets = utf8(batch.column(2))
             for i, j in chunks(offsets):
                 text, codes, known, digests = _chunk_terms(data, offsets, i, j, bits)
@@ -173,8 +194,8 @@ def _counts(filtered, bits: int, by_term: bool):
                 text, codes, size = text[keep], codes[keep], max(1, len(known))
                 if not len(codes):
                     continue
-                signed = digests.view(np.int64)
                 if by_term:
+                    signed = digests.view(np.int64)
                     pairs = np.unique(text * size + codes, return_counts=True)
                     keys, (n, docs) = _grouped([group[i:j][pairs[0] // size], pairs[0] % size], [pairs[1], np.ones(len(pairs[0]), dtype=np.int64)])
                     strings = known.take(pa.array(keys[1])).to_pylist()
@@ -187,14 +208,8 @@ def _counts(filtered, bits: int, by_term: bool):
                 keys, (n,) = _grouped([keys // size, digests[keys % size]], [n])
                 held.append((*keys, n))
                 each = np.unique(lang[i:j][text] * size + codes)
-                for g, d, term in zip((each // size).tolist(), signed[each % size].tolist(), known.take(pa.array(each % size)).to_pylist(), strict=True):
-                    at = seen.get((of_lang[g], d))
-                    if at is None:
-                        seen[of_lang[g], d] = [term, term]
-                    elif at[0] != term or at[1] != term:
-                        # In the order of UTF-8, which is that of code points.
-                        at[0], at[1] = min(at[0], term), max(at[1], term)
-            if len(seen) + sum(len(h[0]) for h in held) > FLUSH:
+                met.append((each // size, digests[each % size], known.take(pa.array(each % size)).cast(pa.string())))
+            if len(seen) + sum(len(h[0]) for h in [*held, *met]) > FLUSH:
                 yield from out()
         yield from out()
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from corpusmill.functions.text import margin_key
 from corpusmill.rules import DEFAULT, Rules
@@ -97,39 +99,44 @@ def pooled(windows: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
 
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[Any], Any], schema: str) -> DataFrame:
-    """A fold over each key's ordered rows that windows can't express. start(key) gives an object with step(row) and end(), which
-    yield result tuples. Partitions are sorted and read in batches: only the fold's own state is held, however many rows a key has."""
+    """A fold over each key's ordered rows that windows can't express. start(key) gives an object with step(*values), called with
+    the other columns of rows, and end(); both give result tuples. Partitions are sorted and read in Arrow batches: only the
+    fold's own state is held, however many rows a key has."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, at, any_yet = None, None, False
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], names=names)
+
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False):
-                k = getattr(row, key)
+            done: list[tuple] = []
+            for k, *values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not any_yet or k != at:
-                    if fold:
-                        out += fold.end()
+                    done += fold.end() if fold else []
                     fold, at, any_yet = start(k), k, True
-                out += fold.step(row)
-            yield pd.DataFrame(out, columns=names)
+                done += fold.step(*values)
+            yield out(done)
         if fold:
-            yield pd.DataFrame(list(fold.end()), columns=names)
+            yield out(list(fold.end()))
 
-    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    keyed = rows.where(F.col(key).isNotNull()).select(key, *[c for c in rows.columns if c != key])
+    return keyed.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 class Batches:
-    """A batch closes when one more row would exceed the count or the tokens; a row beyond the tokens goes alone."""
+    """Rows (pos, tokens). A batch closes when one more row would exceed the count or the tokens; a row beyond the tokens goes alone."""
 
     def __init__(self, key, most_rows: int, most_tokens: int):
         self.key, self.most, self.tokens, self.no, self.n, self.sum = key, most_rows, most_tokens, 0, 0, 0
 
-    def step(self, row):
-        if self.n and (self.n + 1 > self.most or self.sum + row.tokens > self.tokens):
+    def step(self, pos, tokens, *_):
+        if self.n and (self.n + 1 > self.most or self.sum + tokens > self.tokens):
             self.no, self.n, self.sum = self.no + 1, 0, 0
-        self.n, self.sum = self.n + 1, self.sum + row.tokens
-        return [(self.key, row.pos, self.no)]
+        self.n, self.sum = self.n + 1, self.sum + tokens
+        return [(self.key, pos, self.no)]
 
     def end(self):
         return []
@@ -149,80 +156,20 @@ def semantic_score(segments: DataFrame, key: str, similarity: str, weight: str)
     return segments.groupBy(key).agg(F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce((mean * 100).cast("int"), F.lit(0)))).alias("score"))
 
 
-class Packing:
-    """Units (pos, tokens, heading) to segments of about target tokens with overlap; a heading opens a section, headings alone join the
-    next one, and a small last segment of a section joins the one before."""
-
-    def __init__(self, key, rules: Rules = DEFAULT):
-        self.key, self.r, self.unit, self.held, self.no, self.overlap, self.section = key, rules, [], None, 0, 0, 0
-
-    def _flush(self) -> list[tuple]:
-        """Holds the open segment for a small tail; gives the one held before."""
-        tokens = sum(t for _, t, _ in self.unit)
-        new = [self.section, self.unit[0][0], self.unit[-1][0], tokens + self.overlap, tokens]
-        out = self._give()
-        self.held, self.unit = new, []
-        return out
-
-    def _give(self) -> list[tuple]:
-        if not self.held:
-            return []
-        _, first, last, tokens, _ = self.held
-        self.held, self.no = None, self.no + 1
-        return [(self.key, self.no - 1, first, last, tokens)]
-
-    def _close(self) -> list[tuple]:
-        """Ends a section."""
-        before, out = self.held, []
-        if self.unit:
-            tokens = sum(t for _, t, _ in self.unit)
-            if before and before[0] == self.section and tokens + self.overlap < self.r.segment_min and before[3] + tokens + self.overlap <= self.r.segment_max:
-                self.held = [before[0], before[1], self.unit[-1][0], before[3] + tokens, before[4] + tokens]
-                self.unit = []
-            else:
-                out = self._flush()
-        self.overlap = 0
-        return out
-
-    def step(self, row):
-        out = []
-        if row.tokens > self.r.segment_max:  # windows of the target size, each with the overlap of the one before
-            out += self._close() + self._give()
-            step = self.r.segment_target - self.r.segment_overlap
-            for at in range(0, max(1, row.tokens - self.r.segment_overlap), step):
-                out.append((self.key, self.no, row.pos, row.pos, min(self.r.segment_target, row.tokens - at)))
-                self.no += 1
-            return out
-        if row.heading and self.unit and not all(h for _, _, h in self.unit):
-            out += self._close()
-            self.section += 1
-        elif row.heading and not self.unit:
-            self.section += 1
-        if self.unit and self.overlap + sum(t for _, t, _ in self.unit) + row.tokens > self.r.segment_target:
-            body = sum(t for _, t, _ in self.unit)
-            out += self._flush()
-            self.overlap = self.r.segment_overlap if body > self.r.segment_overlap else 0
-        self.unit.append((row.pos, row.tokens, row.heading))
-        return out
-
-    def end(self):
-        return self._close() + self._give()
-
-
 class Ban:
-    """More than limit attempts in (now - window, now] ban a client for ban microseconds; a ban clears the count."""
+    """Rows (event_id, us). More than limit attempts in (now - window, now] ban a client for ban microseconds; a ban clears the count."""
 
     def __init__(self, key, limit: int, window: int, ban: int):
         self.key, self.limit, self.window, self.ban, self.until, self.seen = key, limit, window, ban, None, []
 
-    def step(self, row):
-        if self.until is not None and row.us < self.until:
-            return [(self.key, row.event_id, True)]
+    def step(self, event_id, us):
+        if self.until is not None and us < self.until:
+            return [(self.key, event_id, True)]
         self.until = None
-        self.seen = [t for t in self.seen if t > row.us - self.window] + [row.us]
+        self.seen = [t for t in self.seen if t > us - self.window] + [us]
         if len(self.seen) > self.limit:
-            self.until, self.seen = row.us + self.ban, []
-        return [(self.key, row.event_id, self.until is not None)]
+            self.until, self.seen = us + self.ban, []
+        return [(self.key, event_id, self.until is not None)]
 
     def end(self):
         return []

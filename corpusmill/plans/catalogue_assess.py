@@ -293,13 +293,6 @@ def token_batches(spark, sf_dir):
     return ingestion.folded(rows, "conv_id", ["pos"], partial(ingestion.Batches, most_rows=3, most_tokens=400), "conv_id long, turn long, batch int")
 
 
-@query()
-def segment_pages(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("trim(text) <> ''")
-    rows = lines.selectExpr("doc_id", "pos", f"size({_TOKENS}) AS tokens", "text").withColumn("heading", ingestion.is_heading(F.col("text"))).drop("text")
-    return ingestion.folded(rows, "doc_id", ["pos"], ingestion.Packing, "doc_id long, segment int, first_line int, last_line int, tokens int")
-
-
 #: The guard as a recursion over each user's events.
 _GUARD = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL),
 f AS (SELECT user_id, event_id, r, false AS blocked, CAST(NULL AS BIGINT) AS until, [us] AS seen FROM e WHERE r = 1

@@ -15,30 +15,6 @@ def test_batches_close_at_caps(spark):
     assert [r.batch for r in got] == [0, 1, 1, 1, 2, 3]
 
 
-def _packed(spark, units):
-    rows = spark.createDataFrame([(7, i, t, h) for i, (t, h) in enumerate(units)], "doc_id long, pos int, tokens int, heading boolean")
-    got = ingestion.folded(rows, "doc_id", ["pos"], ingestion.Packing, "doc_id long, segment int, first_line int, last_line int, tokens int")
-    return [(r.first_line, r.last_line, r.tokens) for r in got.orderBy("segment").collect()]
-
-
-def test_packing(spark):
-    assert _packed(spark, [(300, False), (200, False), (300, False)]) == [(0, 1, 500), (2, 2, 364)]  # with 64 tokens of overlap
-    assert _packed(spark, [(500, False), (40, False)]) == [(0, 1, 540)]  # a small tail goes back
-    assert _packed(spark, [(5, True), (5, True), (300, False), (4, True), (300, False)]) == [(0, 2, 310), (3, 4, 304)]  # headings join what follows
-
-
-def test_every_line_is_in_a_segment(spark):
-    got = catalogue.QUERIES["segment_pages"](spark, SF).toPandas().sort_values(["doc_id", "segment"])
-    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
-    lines = {d: [i for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for d, t in zip(docs.doc_id, docs.text, strict=True)}
-    for doc, part in got.groupby("doc_id"):
-        own = lines.pop(doc)
-        covered = [i for i in own if any(a <= i <= b for a, b in zip(part.first_line, part.last_line, strict=True))]
-        assert covered == own and list(part.segment) == list(range(len(part)))
-        assert all(b < a for b, a in zip(part.last_line[:-1], part.first_line[1:], strict=True))
-    assert not any(lines.values())
-
-
 def test_bans_against_a_plain_loop(spark):
     rng = random.Random(3)
     rows = sorted((k, rng.randrange(1000), i) for i, k in enumerate([1, 2] * 60))

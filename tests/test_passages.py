@@ -62,16 +62,6 @@ def test_samples_and_ranges(spark):
         assert ordered.joined_ranges(ordered.reference_ranges(df, "g", "n"), "g").first().label == label
 
 
-def test_long_lines_are_cut():
-    class Row:
-        def __init__(self, pos, tokens, heading=False):
-            self.pos, self.tokens, self.heading = pos, tokens, heading
-
-    fold = ingestion.Packing(1)
-    out = [x for row in (Row(0, 100), Row(1, 3000), Row(2, 50)) for x in fold.step(row)] + fold.end()
-    assert [x[1] for x in out] == list(range(len(out))) and max(x[4] for x in out) <= 1024 and sum(1 for x in out if x[2] == 1) == 7
-
-
 def test_stream_goes_on(spark, tmp_path):
     from corpusmill.streaming import counts
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Set to true, Spark removes the shuffle files of an execution when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Copies made by the calls of settled that are under way.
-_made: list[list[str]] = []
+#: Copies made by the calls of settled under way in this thread.
+_made: ContextVar[list[list[str]]] = ContextVar("made")
+#: Saves under way in a session share its setting: the first one sets it, the last one puts it back.
+_saving: dict[int, tuple[int, str | None]] = {}
+_lock = Lock()
+
+
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _saving.get(key, (0, spark.conf.get(SHUFFLE_CLEANUP, None)))
+        _saving[key] = (n + 1, before)
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _saving.pop(key)
+            if n > 1:
+                _saving[key] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -37,16 +63,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     once, as later jobs read the copy."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
-    if _made:
-        _made[-1].append(path)
+    if made := _made.get([]):
+        made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,17 +78,19 @@ def _place(spark: SparkSession, path: str):
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What make gives, saved. Copies that make saved on its way are deleted then: nothing else may read them."""
-    _made.append([])
+    """What make gives, saved. Copies that make saved on its way, in this thread, are deleted then: nothing else may read them."""
+    outer = _made.get([])
+    own: list[str] = []
+    token = _made.set([*outer, own])
     try:
         out = saved(make(), name)
     finally:
-        paths = _made.pop()
-    for path in paths[:-1]:
+        _made.reset(token)
+    for path in own[:-1]:
         place, files = _place(spark, path)
         files.delete(place, True)
-    if _made:
-        _made[-1].append(paths[-1])
+    if outer:
+        outer[-1].append(own[-1])
     return out
 
 

@@ -29,7 +29,7 @@ def path(url: str = "url") -> Column:
 
 def tokens(host_: Column, path_: Column) -> Column:
     """Distinct host suffix parts and path segments, digits generalised to one 0: a set of items."""
-    parts = F.transform(F.split(host_, r"\."), lambda x: F.concat(F.lit("h="), x))
+    parts = F.transform(F.filter(F.split(host_, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("h="), x))
     steps = F.transform(F.filter(F.split(path_, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p="), F.regexp_replace(x, r"\d+", "0")))
     return F.array_sort(F.array_distinct(F.concat(parts, steps)))
 

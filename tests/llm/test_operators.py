@@ -361,3 +361,31 @@ def test_empty_tables(spark, empty):
     for f in (jaccard.joined, imatch.fingerprints, langid.learn_and_predict, pieces.encode_decode, substrings.passages, substrings.without_repeats, langid.recognised):
         assert f(empty).collect() == []
     assert decontaminate.find(empty, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_a_stalled_writer_does_not_lose_its_rows(spark, tmp_path):
+    """A writer that another one overtakes between its lock and its rename commits nothing, and appends to the next version."""
+    root = f"file://{tmp_path}/shards"
+
+    class Stalled(sharding.ShardedTable):
+        def _publish(self, name, version):
+            if not hasattr(self, "late"):
+                self.late = True
+                fs, path = self._fs()
+                fs.delete(path(f"{self.root}/commits/.{version}.lock"), False)  # it has expired
+                sharding.ShardedTable(spark, root).append(spark.range(100, 103).toDF("x"))
+            super()._publish(name, version)
+
+    assert sharding.ShardedTable(spark, root).append(spark.range(5).toDF("x")) == 1
+    assert Stalled(spark, root).append(spark.range(50, 54).toDF("x")) == 3
+    table = sharding.ShardedTable(spark, root)
+    assert table.version() == 3 and sorted(r.x for r in table.read().collect()) == [0, 1, 2, 3, 4, 50, 51, 52, 53, 100, 101, 102]
+    assert table.read(2).count() == 8
+
+
+def test_null_urls_are_allowed_whatever_is_mined(spark):
+    """Bad urls without a host make no rule that null urls meet."""
+    pages = [(i, "no host here" if i % 2 else f"http://h{i}.org/x", "") for i in range(100)] + [(200, None, ""), (201, "", ""), (202, "http:///", "")]
+    labels = [(i, 0 if i % 2 else 1, i % 2) for i in range(100)]
+    got = urlrules.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.page_id: r.verdict for r in got.where("page_id >= 200").collect()} == {200: "allow", 201: "allow", 202: "allow"}

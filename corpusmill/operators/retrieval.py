@@ -6,16 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators.products import products
+from corpusmill.operators.inverted import Inverted
 from corpusmill.rules import DEFAULT, Rules
+from corpusmill.sources.tables import kept
 
 
-def nearest(queries: DataFrame, segments: DataFrame, k: int | None) -> DataFrame:
-    """The k (None: all) most similar segments of each query (query_id, vector), itself excluded; ties by segment id."""
-    pairs = products(segments, queries, "query_id", k=k).select("query_id", "segment_id", "document_id", "similarity")
+def nearest(queries: DataFrame, segments: DataFrame, k: int, **cells) -> DataFrame:
+    """The k most similar segments of each query (query_id, vector), itself excluded; ties by segment id."""
+    pairs = Inverted(segments, **cells).nearest(queries, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "segment_id"))
-    ranked = pairs.withColumn("rank", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def diversified_nearest(queries: DataFrame, segments: DataFrame, rules: Rules = DEFAULT, **cells) -> DataFrame:
+    """The diversified top_k of each query, with the rank among all its segments and the rank in its document."""
+    index = Inverted(segments, **cells)
+    pairs = index.nearest(queries, rules.top_k, rules.per_document)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "segment_id"))
+    chosen = kept(diversified(pairs.withColumn("rank", rank), rules), "diversified")
+    # Up to place top_k ranks among the candidates are those among all; later ones are counted.
+    later = index.ranks(queries, chosen.where(F.col("rank") > rules.top_k)).withColumnRenamed("rank", "_rank")
+    return chosen.join(later, ["query_id", "segment_id"], "left").withColumn("rank", F.coalesce("_rank", "rank").cast("int")).drop("_rank")
 
 
 def diversified(candidates: DataFrame, rules: Rules = DEFAULT) -> DataFrame:

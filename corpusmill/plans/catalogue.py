@@ -110,7 +110,9 @@ def cosine_topk(spark, sf_dir):
 @query(_NEAREST + """SELECT query_id, segment_id, document_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank, CAST(doc_rank AS INTEGER) AS doc_rank FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN doc_rank > 3 THEN 1 ELSE 0 END, rank) AS place FROM d) WHERE place <= 8""")
 def diversified_topk(spark, sf_dir):
-    return retrieval.diversified(_nearest(spark, sf_dir, None)).withColumn("similarity", F.round("similarity", 6))
+    s = segments(table(spark, sf_dir, "embeddings"))
+    found = retrieval.diversified_nearest(s.where("segment_id % 25 = 0").select(F.col("segment_id").alias("query_id"), "vector"), s)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT DISTINCT vec_id % 50 AS document_id FROM embeddings WHERE (vec_id % 50) % 10 = 9")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,27 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one where it is unset, on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for what several jobs read. It goes when the application ends."""
+    spark = df.sparkSession
+    path = place(spark, name)
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def segments(embeddings: DataFrame) -> DataFrame:
     """segment_id, document_id, vector (double)."""
     return embeddings.select(F.col("vec_id").alias("segment_id"), (F.col("vec_id") % 50).alias("document_id"), F.col("embedding").cast("array<double>").alias("vector"))

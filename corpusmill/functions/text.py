@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +15,52 @@ def squeezed(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " "))
 
 
-#: Letters with marks that decompose, and what they decompose to.
-MARKED = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+@cache
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """From the compatibility decompositions of all characters beyond ASCII: those that leave one ASCII character, these
+    characters, and what the others leave that leave several."""
+    one, to, several = [], [], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(left) == 1:
+            one.append(c)
+            to.append(left)
+        elif left:
+            several[c] = left
+    return "".join(one), "".join(to), several
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """A character class of these characters."""
+    out: list[list[int]] = []
+    for x in sorted(map(ord, chars)):
+        if out and x == out[-1][1] + 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def to_ascii(c: Column | str) -> Column:
+    """Compatibility decompositions without marks, in ASCII; characters that leave nothing vanish."""
+    c = F.col(c) if isinstance(c, str) else c
+    one, to, several = _decomposed()
+    # Characters that leave several are looked up one by one, in texts that have such only.
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], x)), "")
+    whole = F.when(c.rlike(_ranges(several)), spelled).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(whole, one, to), "[^\\x00-\\x7f]", "")).otherwise(c)
+
+
 #: Fixed value: a page number at either end of a line.
 PAGE_NUMBER = "[-–—|·•\\s]*(?:page|p\\.)?\\s*\\d+(?:\\s*(?:/|sur|of|de)\\s*\\d+)?[-–—|·•\\s]*"
 
 
 def normalised(c: Column | str) -> Column:
     """Lower case without marks, runs of other characters than a-z and 0-9 as one space; letters that don't decompose vanish."""
-    ascii_ = F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), "[^\\x00-\\x7f]", "")
-    return F.trim(F.regexp_replace(ascii_, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(to_ascii(c)), "[^a-z0-9]+", " "))
 
 
 def contains_phrase(text: Column, phrase: str) -> Column:
@@ -64,7 +102,7 @@ def references(c: Column | str) -> Column:
 
 def token_set(c: Column | str) -> Column:
     """Distinct words of letters and digits of more than two characters, without marks."""
-    words = F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit("[a-z0-9]+"), 0)
+    words = F.split(normalised(c), " ")
     return F.array_distinct(F.filter(words, lambda x: F.length(x) > 2))
 
 
@@ -84,10 +122,18 @@ def parsed_spans(c: Column | str, most: int = 20) -> Column:
 
 
 def client_key(ip: Column) -> Column:
-    """An IPv4 address as it is, the /64 network of a full IPv6 address, 'unknown' for anything else."""
-    v6 = ip.rlike("^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$")
-    v4 = ip.rlike("^((25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(25[0-5]|2[0-4]\\d|1?\\d?\\d)$")
-    return F.when(v6, F.concat(F.substring_index(ip, ":", 4), F.lit("::/64"))).when(v4, ip).otherwise("unknown")
+    """An IPv4 address as it is, the /64 network of an IPv6 address in its shortest form, 'unknown' for anything else."""
+    quad = "((25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
+    # A quad at the end of an IPv6 address is its last two groups.
+    v6 = F.lower(F.regexp_replace(ip, f"(?<=:){quad}$", "0:0"))
+    part = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = part(F.substring_index(v6, "::", 1)), F.when(v6.contains("::"), part(F.substring_index(v6, "::", -1))).otherwise(F.array().cast("array<string>"))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    group = "[0-9a-f]{1,4}"
+    good = v6.rlike(f"^({group}(:{group})*)?::({group}(:{group})*)?$") & (gap >= 1) | v6.rlike(f"^({group}:){{7}}{group}$")
+    network = F.array_join(F.transform(F.slice(groups, 1, 4), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+    return F.when(good, F.concat(F.regexp_replace(network, "(^|:)0(:0)*$", ""), F.lit("::/64"))).when(ip.rlike(f"^{quad}$"), ip).otherwise("unknown")
 
 
 def csv_cell(c: Column | str) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import components, looked_up, partitions, saved
+from corpusmill.llm.shared import components, looked_up, partitions, saved, tidy
 from corpusmill.llm.words import SPACED, as_long, chunks, mix, shingles, utf8, words
 
 K = 5
@@ -177,9 +177,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the documents in ids (column doc_id). A bit map of MARK_BITS (1 MB) is broadcast first, so that
     few other texts are shuffled."""
     marks = np.zeros(MARK_BITS, bool)
-    for batch in ids.mapInArrow(_marks_of, "at long").distinct().toArrow().to_batches():
+    for batch in ids.mapInArrow(tidy(_marks_of), "at long").distinct().toArrow().to_batches():
         marks[batch.column(0).to_numpy()] = True
-    return docs.mapInArrow(_marked_sets(docs.sparkSession.sparkContext.broadcast(marks)), "doc_id long, shingles array<long>")
+    return docs.mapInArrow(tidy(_marked_sets(docs.sparkSession.sparkContext.broadcast(marks))), "doc_id long, shingles array<long>")
 
 
 def _marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def joined(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    first = saved(docs.mapInArrow(_sizes, "kind int, doc_id long, n long, hi long, lo long, sketch array<long>, wide binary"), "jaccard-sizes")
+    first = saved(docs.mapInArrow(tidy(_sizes), "kind int, doc_id long, n long, hi long, lo long, sketch array<long>, wide binary"), "jaccard-sizes")
     sizes = first.where("kind = 0")
     top = first.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hi").limit(MAX_FREQUENT).toArrow()
     known, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
@@ -227,7 +227,7 @@ def joined(documents: DataFrame) -> DataFrame:
     known, count = known[order], count[order]
     shingle_total = sizes.agg(F.sum("n")).first()[0] or 1
     small = boundary(float((count.astype(np.float64) ** 2).sum()) / shingle_total)
-    keyed = docs.mapInArrow(_keys(spark.sparkContext.broadcast((known, count)), small), "doc_id long, n long, hi long, lo long, keys array<long>")
+    keyed = docs.mapInArrow(tidy(_keys(spark.sparkContext.broadcast((known, count)), small)), "doc_id long, n long, hi long, lo long, keys array<long>")
     classes = keyed.where("n > 2 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"))
     rows = classes.select("doc", "n", F.explode("keys").alias("key")).repartition(partitions(spark), "key")
     lead_cols = [F.min(F.col("doc").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"l{i}") for i, c in enumerate(LEADERS)]
@@ -244,7 +244,7 @@ def joined(documents: DataFrame) -> DataFrame:
     pairs = stars
     for x in "ab":
         pairs = pairs.join(wide.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")), [x, f"n{x}"])
-    pairs = saved(pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_near, "a long, b long").distinct(), "jaccard-pairs")
+    pairs = saved(pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(tidy(_near), "a long, b long").distinct(), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = saved(_sets_of(docs, needed), "jaccard-sets")
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))

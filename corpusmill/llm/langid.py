@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shared import tidy
+
 TOP = 300
 UNKNOWN = "und"
 #: Similarity below which the filtering stage rejects a document, besides those without letters.
@@ -122,7 +124,7 @@ def held_out(doc_id: Column) -> Column:
 def profiles(labelled: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, gram, rank) of the top most frequent n-grams of each non-null lang, counted over all rows of labelled
     (text, lang). Ties go to the smaller n-gram key. Null texts add nothing; no rows: no profiles."""
-    counts = labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+    counts = labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(tidy(_count), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "gram", "rank")
@@ -189,7 +191,7 @@ def predict(documents: DataFrame, learned: DataFrame, top: int = TOP) -> DataFra
     if rows:
         ranks[np.searchsorted(grams, [r.gram for r in rows]), [langs.index(r.lang) for r in rows]] = [r.rank for r in rows]
     shared = documents.sparkSession.sparkContext.broadcast((langs, grams, ranks))
-    return documents.select("doc_id", "text").mapInArrow(_predict(shared, top), "doc_id long, lang_pred string, score double")
+    return documents.select("doc_id", "text").mapInArrow(tidy(_predict(shared, top)), "doc_id long, lang_pred string, score double")
 
 
 def learn_and_predict(documents: DataFrame, top: int = TOP) -> DataFrame:

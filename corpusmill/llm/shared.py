@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from threading import Lock
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +32,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Set to true, Spark removes the shuffle files of an execution when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the Arrow batches that Python workers are sent while a copy is written, where the session has more.
+ARROW_BYTES, MOST_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 #: Copies made by the calls of settled under way in this thread.
 _made: ContextVar[list[list[str]]] = ContextVar("made")
 #: Saves under way in a session share its setting: the first one sets it, the last one puts it back.
-_saving: dict[int, tuple[int, str | None]] = {}
+_saving: dict[int, tuple[int, dict[str, str | None]]] = {}
 _lock = Lock()
 
 
 @contextmanager
-def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+def _for_copies(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their job, and Arrow batches are small."""
     key = id(spark._jsparkSession)
     with _lock:
-        n, before = _saving.get(key, (0, spark.conf.get(SHUFFLE_CLEANUP, None)))
+        n, before = _saving.get(key, (0, {}))
+        if not n:
+            before = {SHUFFLE_CLEANUP: spark.conf.get(SHUFFLE_CLEANUP, None), ARROW_BYTES: spark.conf.get(ARROW_BYTES)}
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+            given = int(before[ARROW_BYTES].removesuffix("b")) if before[ARROW_BYTES].removesuffix("b").lstrip("-").isdigit() else 0
+            if given > MOST_ARROW_BYTES or given < 0:
+                spark.conf.set(ARROW_BYTES, MOST_ARROW_BYTES)
         _saving[key] = (n + 1, before)
-        spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
@@ -51,10 +61,21 @@ def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
             n, before = _saving.pop(key)
             if n > 1:
                 _saving[key] = (n - 1, before)
-            elif before is None:
-                spark.conf.unset(SHUFFLE_CLEANUP)
             else:
-                spark.conf.set(SHUFFLE_CLEANUP, before)
+                for name, value in before.items():
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker, which goes on to other tasks, gives its unused memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+    return wrapped
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -63,7 +84,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     once, as later jobs read the copy."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _shuffle_cleanup(spark):
+    with _for_copies(spark):
         df.write.parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)

@@ -11,6 +11,7 @@ from corpusmill.operators import assessment, ingestion, judgements, layer_a, rec
 from corpusmill.operators.products import products
 from corpusmill.plans.catalogue import _LAYER_A, _layer_a, query
 from corpusmill.plans.catalogue_assess import _B, _layer_b, _layer_c
+from corpusmill.sources import ledger
 from corpusmill.sources.tables import segments, table
 from corpusmill.streaming.counts import place
 
@@ -29,6 +30,21 @@ def lease_commits(spark, sf_dir):
     return records.under_lease(e, leases, "job", "lease", "event_id")
 
 
+@query("SELECT 'pages' AS name, doc_id AS id, n_chars AS n FROM documents UNION ALL SELECT 'sources', CAST(substr(source, 4) AS BIGINT), count(*) FROM documents GROUP BY source")
+def published_run(spark, sf_dir):
+    """A run's two tables, published at once by the second holder of its lease; the first one comes too late and is refused."""
+    d, run = table(spark, sf_dir, "documents"), ledger.Ledger(spark, place(spark, "ledger"))
+    late = run.claim("run", 300, now=0.0)
+    token = run.claim("run", 300, now=301.0)
+    pages = d.select("doc_id", "n_chars")
+    run.commit("run", token, replaced={"pages": pages, "sources": d.groupBy(F.substring("source", 4, 10).cast("long").alias("source")).agg(F.count("*").alias("n"))})
+    try:
+        run.commit("run", late, replaced={"pages": pages.where("doc_id < 0")})
+    except ledger.Refused:
+        pass
+    return run.read("pages").select(F.lit("pages").alias("name"), F.col("doc_id").alias("id"), F.col("n_chars").alias("n")).union(run.read("sources").select(F.lit("sources"), "source", "n"))
+
+
 @query("SELECT doc_id, upper(lang) AS lang FROM documents")
 def published_generation(spark, sf_dir):
     """The second of three generations is the one published; the third is written, published and withdrawn."""

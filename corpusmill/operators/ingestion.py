@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from corpusmill.functions.text import margin_key
+from corpusmill.functions.numbers import rounded
+from corpusmill.functions.text import margin_key, normalised
 from corpusmill.rules import DEFAULT, Rules
 
 #: Fixed value: how numbered headings begin.
@@ -73,12 +74,61 @@ def majority(votes: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     return won
 
 
-def gazetteer(texts: DataFrame, codes: dict[str, str]) -> DataFrame:
-    """doc_id, pos, country: the names met in normalised texts (doc_id, norm), the longest first, none within another."""
-    longest = sorted(codes, key=lambda x: (-len(x.split()), x))
-    found = F.regexp_extract_all("norm", F.lit("\\b(" + "|".join(longest) + ")\\b"), 1)
-    code = F.create_map(*[F.lit(x) for name in longest for x in (name, codes[name])])
-    return texts.select("doc_id", F.posexplode(found).alias("pos", "name")).select("doc_id", "pos", F.element_at(code, F.col("name")).alias("country"))
+#: Names that a gazetteer may hold: it is sent to each task.
+MOST_NAMES = 1_000_000
+
+
+def names_of(names: DataFrame) -> DataFrame:
+    """(name, code) of names (place, name, code) as they are sought: normalised, with what stands before 'republic of' or 'republique' too, of four
+    letters at least; of equal ones the first place counts."""
+    n = names.where("name is not null and code is not null").select("place", "code", normalised("name").alias("n"))
+    cuts = F.array("n", *[F.trim(F.split("n", x)[0]) for x in (" republic of", " republique")])
+    return n.select("place", "code", F.explode(F.array_distinct(cuts)).alias("name")).where(F.length("name") >= 4).groupBy("name").agg(F.min_by("code", "place").alias("code"))
+
+
+def gazetteer(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, pos, country: the names (name, code) met in normalised texts (doc_id, norm), from left to right the longest at each
+    place, none within another. Names are a trie over words; null texts have none. More than MOST_NAMES names are refused."""
+    known = names.limit(MOST_NAMES + 1).collect()
+    if len(known) > MOST_NAMES:
+        raise ValueError(f"a gazetteer holds at most {MOST_NAMES} names")
+    trie: dict = {}
+    for name, code in known:
+        at = trie
+        for word in name.split():
+            at = at.setdefault(word, {})
+        at[""] = code
+    shared = texts.sparkSession.sparkContext.broadcast(trie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        for batch in batches:
+            docs, places, codes = [], [], []
+            for doc, norm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = (norm or "").split(" ")
+                i, met = 0, 0
+                while i < len(words):
+                    at, j, end, code = top, i, i + 1, None
+                    while j < len(words) and (at := at.get(words[j])) is not None:
+                        j += 1
+                        if "" in at:
+                            end, code = j, at[""]
+                    if code is not None:
+                        docs.append(doc)
+                        places.append(met)
+                        codes.append(code)
+                        met += 1
+                    i = end
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.column(0).type), pa.array(places, pa.int32()), pa.array(codes, pa.string())], names=["doc_id", "pos", "country"])
+
+    return texts.select("doc_id", "norm").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, pos int, country string")
+
+
+def decided(texts: DataFrame, votes: DataFrame, value: str) -> DataFrame:
+    """doc_id, value, confidence of every text: the majority of its votes (doc_id, pos, value), of equals the first, with its share rounded to 4
+    digits; NULL and 0 without votes."""
+    won = majority(votes, "doc_id", value, "pos").withColumn("confidence", rounded(F.col("confidence"), 4))
+    return texts.select("doc_id").join(won, "doc_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
 def sample_positions(n: Column, s: int) -> Column:

@@ -92,3 +92,25 @@ def report_limits(variables: DataFrame, scores: DataFrame, notes: DataFrame, ale
     s = scores.groupBy("pillar").agg(F.max("score").alias("s")).agg(F.count_if(F.col("s").isNull()).alias("unscored"))
     a = alerts.agg(F.count_if(F.col("severity") == "mineure").alias("minor_alerts"))
     return n.join(s, how="cross").join(last, how="cross").join(a, how="cross")
+
+
+#: Fixed value: the order in which a report names its limits.
+LIMITS = ("not_concluded", "ambiguous", "confidence", "unscored", "undocumented", "pending", "unqualified")
+
+
+def limit_lines(variables: DataFrame, scores: DataFrame, notes: DataFrame, alerts: DataFrame) -> DataFrame:
+    """place, kind, n, total of the limits that a report names: criteria without conclusion or ambiguous, the mean confidence of latest versions in
+    percent, pillars without a score and variables not documented in their latest version, alerts (pending, qualified) to be looked into
+    or not qualified. Every row becomes one row of each kind that it may count for, so that one aggregate counts all of
+    them; kinds that count nothing aren't named, the confidence is where there is a score."""
+    kinds = lambda df, **flags: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("counts"), v.alias("value")) for k, (c, v) in flags.items()])).alias("x")).select("x.*")
+    none, whole = F.lit(None).cast("double"), F.lit(False)
+    last_scores = scores.groupBy("pillar").agg(F.max_by(F.struct("score", "confidence"), "order_index").alias("x")).select("x.*")
+    last_states = variables.groupBy("variable_id").agg(F.max_by("state", "order_index").alias("state"))
+    rows = kinds(notes, not_concluded=(F.col("reason") != "concluded", none), ambiguous=(F.col("ambiguous"), none))
+    rows = rows.union(kinds(last_scores, confidence=(whole, F.col("confidence").cast("double")), unscored=(F.col("score").isNull(), none)))
+    rows = rows.union(kinds(last_states, undocumented=(F.col("state") == "non_renseigne", none))).union(kinds(alerts, pending=(F.col("pending"), none), unqualified=(~F.col("qualified"), none)))
+    counts = rows.groupBy("kind").agg(F.count_if("counts").alias("n"), F.count("*").alias("total"), rounded(F.avg("value") * 100, 0).cast("long").alias("mean"))
+    place = F.array_position(F.array(*map(F.lit, LIMITS)), F.col("kind")).cast("int")
+    named = counts.withColumn("n", F.when(F.col("kind") == "confidence", F.col("mean")).otherwise(F.col("n")))
+    return named.where((F.col("n") > 0) | (F.col("kind") == "confidence")).select(place.alias("place"), "kind", "n", "total")

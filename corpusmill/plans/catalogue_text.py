@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import numbers, text
 from corpusmill.operators import decisions, ingestion, ordered
-from corpusmill.operators.ingestion import majority
 from corpusmill.plans.catalogue import query
 from corpusmill.sources.tables import table
 
@@ -45,16 +44,29 @@ def signals(spark, sf_dir):
     return d.select("doc_id", *[F.array_join(c, ",").alias(name) for name, c in found.items()])
 
 
-#: Names of invented countries, and their codes; longer names hold shorter ones.
-COUNTRIES = {"of the": "AA", "the": "BB", "by": "CC", "la": "DD", "de la": "EE", "und": "FF", "und der": "GG", "el": "HH"}
+#: Nations have their name, and as alias the second to (2 + key % 3)th word of the document of their key, in its language.
+_NAMES = rf"""n AS (SELECT doc_id, {_NORM} AS norm FROM documents), al AS (SELECT n_nationkey AS place, lower(replace(n_name, '_', ' ')) AS name, 'N' || n_nationkey AS code FROM nation
+UNION ALL SELECT 100 + n_nationkey, array_to_string(string_split(norm, ' ')[2:2 + n_nationkey % 3], ' '), 'N' || n_nationkey FROM nation JOIN n ON doc_id = n_nationkey),
+na AS (SELECT name, arg_min(code, place) AS code FROM al WHERE length(name) >= 4 GROUP BY name),
+pa AS (SELECT '\b(' || string_agg(name, '|' ORDER BY len(string_split(name, ' ')) DESC, name) || ')\b' AS p FROM na)"""
 
 
-@query(rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all({_NORM}, '\b(of the|und der|de la|the|und|by|la|el)\b')) AS name, generate_subscripts(regexp_extract_all({_NORM}, '\b(of the|und der|de la|the|und|by|la|el)\b'), 1) AS pos FROM documents),
-c AS (SELECT doc_id, CASE name WHEN 'of the' THEN 'AA' WHEN 'the' THEN 'BB' WHEN 'by' THEN 'CC' WHEN 'la' THEN 'DD' WHEN 'de la' THEN 'EE' WHEN 'und' THEN 'FF' WHEN 'und der' THEN 'GG' ELSE 'HH' END AS country, count(*) AS n, min(pos) AS met FROM m GROUP BY ALL)
-SELECT doc_id, country, CAST(round_even(CAST(n / sum(n) OVER (PARTITION BY doc_id) AS DECIMAL(30,12)), 4) AS DOUBLE) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, met) = 1""")
+def _country_names(spark, sf_dir):
+    key, words = F.col("n_nationkey"), F.split(text.normalised("text"), " ")
+    nation, code = table(spark, sf_dir, "nation"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("code")
+    alias = nation.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n_nationkey"), "text"), "n_nationkey")
+    alias = alias.select((key + 100).alias("place"), F.array_join(F.slice(words, F.lit(2), (1 + key % 3).cast("int")), " ").alias("name"), code)
+    return ingestion.names_of(nation.select(key.alias("place"), F.col("n_name").alias("name"), code).union(alias))
+
+
+@query("WITH " + _NAMES + """, m AS (SELECT doc_id, unnest(regexp_extract_all(norm, p)) AS name, generate_subscripts(regexp_extract_all(norm, p), 1) AS pos FROM n, pa),
+c AS (SELECT doc_id, code AS country, count(*) AS n, min(pos) AS met FROM m JOIN na USING (name) GROUP BY ALL),
+w AS (SELECT doc_id, country, CAST(round_even(CAST(n / sum(n) OVER (PARTITION BY doc_id) AS DECIMAL(30,12)), 4) AS DOUBLE) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, met) = 1)
+SELECT doc_id, country, coalesce(confidence, 0) AS confidence FROM n LEFT JOIN w USING (doc_id)""")
 def country_vote(spark, sf_dir):
-    found = ingestion.gazetteer(table(spark, sf_dir, "documents").select("doc_id", text.normalised("text").alias("norm")), COUNTRIES)
-    return majority(found, "doc_id", "country", "pos").withColumn("confidence", numbers.rounded(F.col("confidence"), 4))
+    """The country of each document by the names in it, nations' names and aliases in four languages; NULL without a name."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.normalised("text").alias("norm"))
+    return ingestion.decided(d, ingestion.gazetteer(d, _country_names(spark, sf_dir)), "country")
 
 
 @query("""WITH n AS (SELECT doc_id, CAST(ceil(length(text) / 100.0) AS INTEGER) AS n FROM documents), i AS (SELECT doc_id, n, CAST(unnest(range(least(n, 20))) AS INTEGER) AS i FROM n)

@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from corpusmill.plans import catalogue, catalogue_assess, catalogue_findings, catalogue_lexical, catalogue_more, catalogue_passages, catalogue_records, catalogue_reports, catalogue_segments, catalogue_text  # noqa: F401  the others add to the first
+from corpusmill.plans import catalogue, catalogue_assess, catalogue_decisions, catalogue_findings, catalogue_lexical, catalogue_more, catalogue_passages, catalogue_records, catalogue_reports, catalogue_segments, catalogue_text  # noqa: F401  the others add to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -98,21 +98,23 @@ def cited(texts: DataFrame, offered: DataFrame, key: str) -> tuple[DataFrame, Da
     the sources (key, number, excerpt, spans).
 
     A mark's sentences of one excerpt are one source, a reference without a known sentence is to all of them. Sources of the same
-    spans are one, numbered by first citation; references to what isn't offered go, and marks of such alone.
+    spans are one, numbered by first citation; references to what isn't offered go, and marks of such alone. Texts with a
+    column version are versions of one text: their sources are numbered together, versions in order.
     """
+    by = [key, "version"] if "version" in texts.columns else [key]
     own = texts.withColumn("text", F.translate("text", "⟦⟧", ""))
-    marks = own.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(REFERENCES), 1)).alias("i", "mark"))
-    refs = marks.select(key, "i", F.posexplode(F.split("mark", "[,;]")).alias("j", "ref"))
+    marks = own.select(*by, F.posexplode(F.regexp_extract_all("text", F.lit(REFERENCES), 1)).alias("i", "mark"))
+    refs = marks.select(*by, "i", F.posexplode(F.split("mark", "[,;]")).alias("j", "ref"))
     number = lambda part: F.regexp_extract("ref", f"(?i){part}", 1)
-    refs = refs.select(key, "i", "j", number("E(\\d+)").cast("int").alias("excerpt"), F.nullif(number("\\.(\\d+)"), F.lit("")).cast("int").alias("sentence")).join(offered, [key, "excerpt"])
+    refs = refs.select(*by, "i", "j", number("E(\\d+)").cast("int").alias("excerpt"), F.nullif(number("\\.(\\d+)"), F.lit("")).cast("int").alias("sentence")).join(offered, [key, "excerpt"])
     chosen = F.when(F.col("sentence").between(1, F.size("spans")), F.slice("spans", F.col("sentence"), F.lit(1))).otherwise(F.col("spans"))
-    found = refs.select(key, "i", "j", "excerpt", chosen.alias("spans")).groupBy(key, "i", "excerpt").agg(F.min("j").alias("j"), F.flatten(F.collect_list("spans")).alias("spans"))
+    found = refs.select(*by, "i", "j", "excerpt", chosen.alias("spans")).groupBy(*by, "i", "excerpt").agg(F.min("j").alias("j"), F.flatten(F.collect_list("spans")).alias("spans"))
     found = found.withColumn("spans", _joined_spans(F.col("spans")))
-    sources = found.groupBy(key, "excerpt", "spans").agg(F.min(F.struct("i", "j")).alias("_at"))
+    sources = found.groupBy(key, "excerpt", "spans").agg(F.min(F.struct(*by[1:], "i", "j")).alias("_at"))
     sources = sources.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy("_at"))).drop("_at")
-    numbers = found.join(sources, [key, "excerpt", "spans"]).groupBy(key, "i").agg(F.sort_array(F.collect_list(F.struct("j", "number"))).alias("n"))
-    new = numbers.select(key, "i", F.concat(F.lit("⟦"), F.array_join("n.number", ","), F.lit("⟧")).alias("mark"))
-    return _put_back(own, [key], REFERENCES, new), sources.select(key, "number", "excerpt", "spans")
+    numbers = found.join(sources, [key, "excerpt", "spans"]).groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct("j", "number"))).alias("n"))
+    new = numbers.select(*by, "i", F.concat(F.lit("⟦"), F.array_join("n.number", ","), F.lit("⟧")).alias("mark"))
+    return _put_back(own, by, REFERENCES, new), sources.select(key, "number", "excerpt", "spans")
 
 
 def compacted(texts: DataFrame, sources: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import judgements, language, layer_a
+from corpusmill.operators import interpretations, judgements, language, layer_a, passages
 from corpusmill.plans.catalogue import _layer_a, query
 from corpusmill.plans.catalogue_assess import _B, _layer_c
 from corpusmill.plans.catalogue_text import _NORM
@@ -59,3 +59,65 @@ def report_limit_lines(spark, sf_dir):
     s, notes, found, *_ = _layer_c(spark, sf_dir)
     alerts = found.select(((F.col("pillar") + F.col("order_index")) % 2 == 0).alias("pending"), (F.col("pillar") % 3 != 0).alias("qualified"))
     return judgements.limit_lines(layer_a.variables(m, p, dv), s, notes, alerts)
+
+
+def _head(limit: str, size: int) -> str:
+    """The first size - 1 characters besides numbers, in two steps, as a repetition has 1,000 at most."""
+    one = "(?:(?:⟦[0-9]+⟧)*[^⟦])"
+    return f"regexp_extract({limit}, '^({one}{{{(size - 1) // 2}}}{one}{{{size - 1 - (size - 1) // 2}}})', 1)"
+
+
+_PLAIN = lambda x: f"regexp_replace({x}, '⟦[0-9]+⟧', '', 'g')"
+#: Turns are items of an answer: its text, mostly with references, and a translation of every second one.
+_ANSWERS = rf"""WITH tt AS (SELECT conv_id AS c, turn AS t, CASE turn % 3 WHEN 0 THEN 'segments' WHEN 1 THEN 'variables' ELSE 'pillars' END AS kind, text FROM conversations WHERE conv_id % 7 <> 3),
+tx AS (SELECT c, t, kind, 0 AS version, text || CASE WHEN t % 6 = 0 THEN ' fin.' ELSE ' [E' || (t + 1) || '.1, E' || (t + 2) || '] fin (e' || (t + 2) || '.9).' END AS text FROM tt UNION ALL SELECT c, t, kind, 1, 'EN ' || text || ' (E' || (t + 1) || '.2; E' || (t + 2) || '.1).' FROM tt WHERE t % 2 = 0),
+al AS (SELECT c, t, unnest(CASE kind WHEN 'segments' THEN [t + 1] WHEN 'variables' THEN [t + 1, t + 2] ELSE [t + 2] END) AS e FROM tt),
+o AS (SELECT c, t, e, list_transform(range(1 + (c + e) % 3), lambda s: {{'a': s * w, 'z': s * w + 9}}) AS spans FROM (SELECT *, CASE WHEN e % 2 = 0 THEN 20 ELSE 10 END AS w FROM al)),
+m AS (SELECT c, t, version, unnest(regexp_extract_all(text, '{passages.REFERENCES}', 1)) AS mark, generate_subscripts(regexp_extract_all(text, '{passages.REFERENCES}', 1), 1) AS i FROM tx),
+r AS (SELECT c, t, version, i, unnest(regexp_split_to_array(mark, '[,;]')) AS ref, generate_subscripts(regexp_split_to_array(mark, '[,;]'), 1) AS j FROM m),
+x AS (SELECT c, t, version, i, j, CAST(regexp_extract(ref, '(?i)E(\d+)', 1) AS BIGINT) AS e, TRY_CAST(regexp_extract(ref, '\.(\d+)', 1) AS INTEGER) AS n FROM r),
+y AS (SELECT c, t, version, i, j, e, unnest(CASE WHEN n BETWEEN 1 AND len(spans) THEN [spans[n]] ELSE spans END) AS s FROM x JOIN o USING (c, t, e)),
+z AS (SELECT *, CASE WHEN s.a <= max(s.z) OVER (PARTITION BY c, t, version, i, e ORDER BY s.a, s.z, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM y),
+v AS (SELECT *, sum(opens) OVER (PARTITION BY c, t, version, i, e ORDER BY s.a, s.z, j ROWS UNBOUNDED PRECEDING) AS part FROM z),
+q AS (SELECT c, t, version, i, e, part, min(j) AS j, min(s.a) AS a, max(s.z) AS z FROM v GROUP BY ALL),
+f AS (SELECT c, t, version, i, min(j) AS j, 'E' || e || ':' || string_agg(a || '-' || z, ';' ORDER BY a) AS source FROM q GROUP BY c, t, version, i, e),
+sp AS (SELECT c, t, kind, version, unnest(regexp_split_to_array(text, '{passages.REFERENCES}')) AS part, generate_subscripts(regexp_split_to_array(text, '{passages.REFERENCES}'), 1) AS i FROM tx),
+pu AS (SELECT c, t, kind, version, trim(regexp_replace(string_agg(part || CASE WHEN (c, t, version, i) IN (SELECT (c, t, version, i) FROM f) THEN '⟦' || i || '⟧' ELSE '' END, '' ORDER BY i), '[ \t\n\r]+', ' ', 'g')) AS text FROM sp GROUP BY ALL),
+hd AS (SELECT *, length({_PLAIN("text")}) > CASE kind WHEN 'pillars' THEN 1200 ELSE 850 END AS long, CASE WHEN kind = 'pillars' THEN {_head("text", 1200)} ELSE {_head("text", 850)} END AS head, CASE WHEN kind = 'pillars' THEN 600 ELSE 425 END AS half FROM pu),
+cu AS (SELECT c, t, kind, version, CASE WHEN NOT long THEN text WHEN length({_PLAIN("regexp_extract(head, '^(.*) ', 1)")}) > half THEN rtrim(regexp_extract(head, '^(.*) ', 1)) || '…' ELSE rtrim(head) || '…' END AS text FROM hd),
+lo AS (SELECT *, length(trim({_PLAIN("text")})) >= CASE kind WHEN 'pillars' THEN 250 ELSE 150 END AS ok FROM cu),
+ke AS (SELECT * FROM lo WHERE (c, t) IN (SELECT (c, t) FROM lo WHERE version = 0 AND ok) AND (version = 0 OR ok OR kind = 'segments')),
+mk AS (SELECT c, t, version, CAST(unnest(regexp_extract_all(text, '⟦([0-9]+)⟧', 1)) AS INTEGER) AS i FROM ke), us AS (SELECT f.* FROM f JOIN mk USING (c, t, version, i)),
+nu AS (SELECT c, t, source, row_number() OVER (PARTITION BY c, t ORDER BY min((version, i, j))) AS number FROM us GROUP BY c, t, source),
+nm AS (SELECT c, t, version, i, '⟦' || string_agg(number, ',' ORDER BY j) || '⟧' AS mark FROM us JOIN nu USING (c, t, source) GROUP BY ALL),
+pp AS (SELECT c, t, kind, version, unnest(regexp_split_to_array(text, '⟦[0-9]+⟧')) AS part, unnest(list_concat(regexp_extract_all(text, '⟦([0-9]+)⟧', 1), ['0'])) AS i FROM ke),
+pn AS (SELECT *, row_number() OVER (PARTITION BY c, t, version ORDER BY CASE WHEN i = '0' THEN 1000000 ELSE CAST(i AS INTEGER) END) AS k FROM pp),
+fi AS (SELECT pn.c, pn.t, kind, pn.version, string_agg(part || coalesce(mark, ''), '' ORDER BY k) AS text FROM pn LEFT JOIN nm ON nm.c = pn.c AND nm.t = pn.t AND nm.version = pn.version AND nm.i = CAST(pn.i AS INTEGER) GROUP BY ALL),
+ou AS (SELECT *, (SELECT string_agg(source, ',' ORDER BY number) FROM nu WHERE nu.c = fi.c AND nu.t = fi.t) AS sources FROM fi)
+SELECT c AS batch, kind, CAST(t AS INTEGER) AS turn, version, sha256(CASE WHEN sources IS NULL THEN regexp_replace(text, '\s*[.!?…]*\s*$', '') || '⟦1⟧' || regexp_extract(text, '([.!?…]*)\s*$', 1) ELSE text END) AS text_sha256,
+coalesce(sources, (SELECT max('E' || e || ':' || CASE WHEN e % 2 = 1 THEN '0-' || (len(spans) * 10 - 1) ELSE array_to_string(list_transform(spans, lambda s: s.a || '-' || s.z), ';') END) FROM o WHERE o.c = ou.c AND o.t = ou.t)) AS sources
+FROM ou WHERE sources IS NOT NULL OR kind = 'segments'"""
+
+
+@query(_ANSWERS)
+def reading_interpretation(spark, sf_dir):
+    """Conversations are answers, as JSON; those of every seventh are cut off. An excerpt of an even number has sentences that don't touch."""
+    t = F.col("turn")
+    kind = F.when(t % 3 == 0, "segments").when(t % 3 == 1, "variables").otherwise("pillars").alias("kind")
+    ref = lambda n, part="": F.concat(F.lit("E"), (t + n).cast("string"), F.lit(part))
+    own = F.concat("text", F.when(t % 6 == 0, " fin.").otherwise(F.concat(F.lit(" ["), ref(1, ".1, "), ref(2), F.lit("] fin ("), F.lower(ref(2)), F.lit(".9)."))))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch"), "turn", kind, F.concat(F.lit(" i"), t.cast("string")).alias("item"), own.alias("own"), F.when(t % 2 == 0, F.concat(F.lit("EN "), "text", F.lit(" ("), ref(1, ".2; "), ref(2, ".1)."))).alias("en"))
+    texts = lambda kind, of: F.map_from_entries(F.collect_list(F.when((F.col("kind") == kind) & F.col(of).isNotNull(), F.struct("item", of))))
+    of_all = lambda of: F.struct(*[texts(k, of).alias(k) for k in ("segments", "variables", "pillars")])
+    stored = c.groupBy("batch").agg(of_all("own").alias("o"), of_all("en").alias("en"))
+    whole = F.to_json(F.struct("o.segments", "o.variables", "o.pillars", F.struct("en").alias("translations")))
+    stored = stored.select("batch", F.when(F.col("batch") % 7 == 3, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole).alias("answer"), F.array(F.lit("en"), F.lit("es")).alias("locales"))
+    allowed = F.when(t % 3 == 0, F.array(t + 1)).when(t % 3 == 1, F.array(t + 1, t + 2)).otherwise(F.array(t + 2))
+    subjects = c.select("batch", "kind", F.upper(F.trim("item")).alias("item"), allowed.alias("allowed"))
+    n, w = (F.col("batch") + F.col("excerpt")) % 3, F.when(F.col("excerpt") % 2 == 0, 20).otherwise(10)
+    spans = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda s: F.struct((s * w).alias("start"), (s * w + 9).alias("end")))
+    excerpts = subjects.select("batch", F.explode("allowed").alias("excerpt")).distinct().select("batch", "excerpt", spans.alias("spans"))
+    found, sources = interpretations.interpreted(interpretations.answers(stored), subjects, excerpts)
+    name = F.concat(F.lit("E"), F.col("excerpt").cast("string"), F.lit(":"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ";"))
+    names = sources.groupBy("batch", "kind", "item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", name.alias("name")))), lambda x: x["name"]), ",").alias("sources"))
+    return found.join(names, ["batch", "kind", "item"]).select("batch", "kind", F.substring("item", 2, 9).cast("int").alias("turn"), "version", F.sha2("text", 256).alias("text_sha256"), "sources")

@@ -174,7 +174,7 @@ def _marked_sets(marks_of):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids (column doc_id). A bit map of MARK_BITS (1 MB) is broadcast first, so that
+    """(doc_id, shingles) of the documents in ids (column doc_id). A map of MARK_BITS marks of a byte each (8 MB) is broadcast first, so that
     few other texts are shuffled."""
     marks = np.zeros(MARK_BITS, bool)
     for batch in ids.mapInArrow(tidy(_marks_of), "at long").distinct().toArrow().to_batches():

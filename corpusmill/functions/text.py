@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def normalised(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(to_ascii(c)), "[^a-z0-9]+", " "))
 
 
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).replace("\u00ad", "").casefold().split()))
+
+
+def folded(c: Column | str) -> Column:
+    """Compatibility forms composed, soft hyphens removed, case folded, white space as one space: as quotes are compared. Full case folding has no
+    column function, so that texts go through Arrow batches."""
+    return F.pandas_udf(_folded, "string")(c)
+
+
 def contains_phrase(text: Column, phrase: str) -> Column:
     """Whether a normalised text has a normalised phrase as whole words."""
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {phrase} ") if phrase else F.lit(False)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions.numbers import rounded
+from corpusmill.functions.numbers import number, rounded
+from corpusmill.functions.text import shortened
 
 
 def valid_grades(grades: DataFrame, offered: DataFrame) -> DataFrame:
@@ -114,3 +115,39 @@ def limit_lines(variables: DataFrame, scores: DataFrame, notes: DataFrame, alert
     place = F.array_position(F.array(*map(F.lit, LIMITS)), F.col("kind")).cast("int")
     named = counts.withColumn("n", F.when(F.col("kind") == "confidence", F.col("mean")).otherwise(F.col("n")))
     return named.where((F.col("n") > 0) | (F.col("kind") == "confidence")).select(place.alias("place"), "kind", "n", "total")
+
+
+#: Statuses whose documents are indexed.
+INDEXED = ("conforme", "integre_decision_humaine")
+
+
+def index_eligible(status: Column) -> Column:
+    """Whether a document of this status is indexed; one without a status isn't."""
+    return F.coalesce(status.isin(*INDEXED), F.lit(False))
+
+
+def layers_available(runs: DataFrame, steps: DataFrame, layers: list[str]) -> DataFrame:
+    """run and a flag for each layer of every run (run): the last status (run, step, seq, status) of its step is not 'skipped', or it has no such step."""
+    last = steps.where(F.col("step").isin(layers)).groupBy("run", "step").agg(F.max_by("status", "seq").alias("status"))
+    skipped = last.groupBy("run").agg(*[F.bool_or((F.col("step") == x) & (F.col("status") == "skipped")).alias(x) for x in layers])
+    return runs.select("run").distinct().join(skipped, "run", "left").select("run", *[~F.coalesce(F.col(x), F.lit(False)) for x in layers]).toDF("run", *layers)
+
+
+def country_names(codes: DataFrame, countries: DataFrame, translations: DataFrame, locale: str) -> DataFrame:
+    """code, name of codes (code): the name of countries (code, name, common) in a locale, of translations (locale, name, translated); where it has none, or
+    the same, the common name before the official one. Codes count in any case; unknown and null ones have NULL."""
+    own = countries.join(translations.where(F.col("locale") == locale).select("name", "translated"), "name", "left")
+    translated = F.when(F.col("translated") != F.col("name"), F.col("translated"))
+    named = own.select(F.upper("code").alias("_code"), F.coalesce(translated, "common", "name").alias("name")).dropDuplicates(["_code"])
+    return codes.join(named, F.upper(codes["code"]) == named["_code"], "left").select(codes["code"], "name")
+
+
+def default_messages(alerts: DataFrame, templates: DataFrame, locale: str, most: int = 500) -> DataFrame:
+    """alerts with a message: the template (locale, rule, template) of their rule, in English where the locale has none, with {pillar}, {criterion}, {score}, {note},
+    {delta} and {confidence} filled in, numbers rounded, missing ones empty; cut at most characters."""
+    wanted = templates.where(F.col("locale").isin(locale, "en")).groupBy("rule").agg(F.max_by("template", F.col("locale") == locale).alias("_t"))
+    filled = F.col("_t")
+    values = {"pillar": F.col("pillar").cast("string"), "criterion": F.col("criterion").cast("string"), "score": number(F.col("score")), "note": number(F.col("note"), 1), "delta": number(F.col("delta")), "confidence": number(F.col("confidence") * 100)}
+    for name, value in values.items():
+        filled = F.replace(filled, F.lit("{" + name + "}"), F.when(F.col(name).isNull(), "").otherwise(F.coalesce(value, F.lit(""))))
+    return alerts.join(wanted, "rule").withColumn("message", shortened(filled, most)).drop("_t")

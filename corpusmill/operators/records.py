@@ -46,12 +46,15 @@ class Generations:
 
 
 def settings_of(owners: DataFrame, settings: DataFrame, owner: str, key: str, version: str) -> DataFrame:
-    """The setting of each (owner, key): the owner's own before the common one (owner NULL), the latest version first."""
-    own = owners.join(settings, owner).select(owner, key, version, F.lit(0).alias("_common"), *[c for c in settings.columns if c not in (owner, key, version)])
-    rest = owners.join(F.broadcast(settings.where(F.col(owner).isNull()).drop(owner).groupBy(key).agg(F.max_by(F.struct("*"), version).alias("s")).select("s.*")), how="cross")
-    rest = rest.select(owner, key, version, F.lit(1).alias("_common"), *[c for c in settings.columns if c not in (owner, key, version)])
-    place = F.row_number().over(W.partitionBy(owner, key).orderBy("_common", F.desc(version)))
-    return own.unionByName(rest).withColumn("_n", place).where("_n = 1").drop("_n", "_common")
+    """The setting of each (owner, key): the owner's own before the common one (owner NULL), the latest version first. Both are
+    reduced to their latest before they meet; every owner has every common key, so that its rows are the result itself."""
+    rest = [c for c in settings.columns if c not in (owner, key)]
+    latest = lambda rows, *by: rows.groupBy(*by).agg(F.max_by(F.struct(*rest), version).alias("_s"))
+    every = owners.select(owner).distinct()
+    own = latest(settings.where(F.col(owner).isNotNull()), owner, key).join(every, owner, "left_semi")
+    common = every.crossJoin(latest(settings.where(F.col(owner).isNull()), key)).withColumnRenamed("_s", "_c")
+    both = own.join(common, [owner, key], "full").withColumn("_s", F.coalesce("_s", "_c"))
+    return both.select(owner, key, *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
 def reused(segments: DataFrame, known: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

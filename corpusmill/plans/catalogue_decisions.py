@@ -121,3 +121,47 @@ def reading_interpretation(spark, sf_dir):
     name = F.concat(F.lit("E"), F.col("excerpt").cast("string"), F.lit(":"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ";"))
     names = sources.groupBy("batch", "kind", "item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", name.alias("name")))), lambda x: x["name"]), ",").alias("sources"))
     return found.join(names, ["batch", "kind", "item"]).select("batch", "kind", F.substring("item", 2, 9).cast("int").alias("turn"), "version", F.sha2("text", 256).alias("text_sha256"), "sources")
+
+
+_STATUS = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE ['conforme', 'a_verifier', 'non_conforme', 'integre_decision_humaine'][1 + doc_id % 4] END"
+
+
+@query(f"SELECT source, count(*) AS documents, count(*) FILTER ({_STATUS} IN ('conforme', 'integre_decision_humaine')) AS indexed FROM documents GROUP BY source")
+def indexed_documents(spark, sf_dir):
+    """Statuses by id; every eleventh document has none."""
+    key = F.col("doc_id")
+    status = F.when(key % 11 != 0, F.get(F.array(*map(F.lit, ("conforme", "a_verifier", "non_conforme", "integre_decision_humaine"))), (key % 4).cast("int")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(judgements.index_eligible(status)).alias("indexed"))
+
+
+@query("""WITH l AS (SELECT user_id, event_type, arg_max(CASE WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'done' END, event_id) AS status FROM events GROUP BY ALL)
+SELECT user_id AS run, coalesce(bool_and(status <> 'skipped') FILTER (event_type = 'click'), true) AS click, coalesce(bool_and(status <> 'skipped') FILTER (event_type = 'view'), true) AS view,
+coalesce(bool_and(status <> 'skipped') FILTER (event_type = 'purchase'), true) AS purchase FROM l GROUP BY user_id""")
+def available_layers(spark, sf_dir):
+    """Users are runs, their events steps; every third is skipped."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("step"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "skipped").otherwise("done").alias("status"))
+    return judgements.layers_available(e, e, ["click", "view", "purchase"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'Pays ' || n_name WHEN n_nationkey % 4 = 1 THEN lower(n_name) ELSE n_name END AS country
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def customer_countries(spark, sf_dir):
+    """Nations of every third key have a name in French, some of the others a common one; codes come in lower case."""
+    n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    countries = n.select(F.concat(F.lit("N"), key.cast("string")).alias("code"), F.col("n_name").alias("name"), F.when(key % 4 == 1, F.lower("n_name")).alias("common"))
+    translations = n.select(F.lit("fr").alias("locale"), F.col("n_name").alias("name"), F.when(key % 3 == 0, F.concat(F.lit("Pays "), "n_name")).otherwise(F.col("n_name")).alias("translated"))
+    codes = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("code"))
+    return codes.join(judgements.country_names(codes.select("code").distinct(), countries, translations, "fr"), "code", "left").select("c_custkey", F.col("name").alias("country"))
+
+
+#: Templates of the query: half of the rules have one in French.
+_TEMPLATES = [("en", f"ALERT-0{i}", "{pillar}/{criterion}: {score} points, note {note}, {delta} points, confidence {confidence}%") for i in range(1, 7)] + [("fr", f"ALERT-0{i}", "{pillar}/{criterion} : {score} points ({confidence} %)") for i in range(1, 4)]
+
+
+@query(_B + """SELECT al.rule, al.pillar, al.order_index, al.criterion, CASE WHEN al.rule <= 'ALERT-03' THEN al.pillar || '/' || coalesce(CAST(al.criterion AS VARCHAR), '') || ' : ' || CAST(CAST(round_even(CAST(al.score AS DECIMAL(30,12)), 0) AS BIGINT) AS VARCHAR) || ' points (' || CAST(round_even(CAST(al.confidence * 100 AS DECIMAL(30,12)), 0) AS BIGINT) || ' %)'
+ELSE al.pillar || '/' || coalesce(CAST(al.criterion AS VARCHAR), '') || ': ' || CAST(CAST(round_even(CAST(al.score AS DECIMAL(30,12)), 0) AS BIGINT) AS VARCHAR) || ' points, note ' || coalesce(CAST(CAST(al.note AS DECIMAL(18,1)) AS VARCHAR), '') || ', ' || coalesce(CAST(CAST(round_even(CAST(ev.delta AS DECIMAL(30,12)), 0) AS BIGINT) AS VARCHAR), '') || ' points, confidence ' || CAST(round_even(CAST(al.confidence * 100 AS DECIMAL(30,12)), 0) AS BIGINT) || '%' END AS message
+FROM al JOIN ev ON ev.pillar = al.pillar AND ev.order_index = al.order_index""")
+def alert_messages(spark, sf_dir):
+    s, _, found, *_ = _layer_c(spark, sf_dir)
+    alerts = found.select("rule", "pillar", "order_index", "criterion", "score", "note", "confidence").join(s.select("pillar", "order_index", "delta"), ["pillar", "order_index"])
+    return judgements.default_messages(alerts, spark.createDataFrame(_TEMPLATES, "locale string, rule string, template string"), "fr").select("rule", "pillar", "order_index", "criterion", "message")

@@ -31,15 +31,15 @@ def phrase_counts(spark, sf_dir):
     return d.select("doc_id", F.inline(each))
 
 
-@query(rf"""WITH n AS (SELECT doc_id, text, ' ' || {_NORM} || ' ' AS t, ' ' || {_NORM.replace('text', 'left(text, 200)')} || ' ' AS h FROM documents)
+@query(rf"""WITH n AS (SELECT doc_id, text, ' ' || {_NORM} || ' ' AS t, ' ' || {_NORM.replace('text', 'left(text, 6000)')} || ' ' AS h FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])LA([^A-Za-z0-9]|$)') THEN 'LA' END, CASE WHEN contains(t, ' of the ') THEN 'Of the' END,
 CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])THE([^A-Za-z0-9]|$)') THEN 'THE' END, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])UE([^A-Za-z0-9]|$)') THEN 'UE' END, CASE WHEN contains(t, ' und die ') THEN 'und die' END) AS financiers,
 concat_ws(',', CASE WHEN contains(t, ' the ') OR contains(t, ' la ') OR contains(t, ' der ') THEN 'articles' END, CASE WHEN contains(t, ' of the ') OR contains(t, ' de la ') OR contains(t, ' und der ') THEN 'links' END) AS themes,
 concat_ws(',', CASE WHEN contains(h, ' by the ') OR (length(t) - length(replace(t, ' by the ', ''))) / 8 >= 3 THEN 'by the' END, CASE WHEN contains(h, ' et le ') OR (length(t) - length(replace(t, ' et le ', ''))) / 7 >= 3 THEN 'et le' END,
 CASE WHEN contains(h, ' in the ') OR (length(t) - length(replace(t, ' in the ', ''))) / 8 >= 3 THEN 'in the' END) AS off_topic FROM n""")
 def signals(spark, sf_dir):
-    """The head of a text is its first 200 characters here, as the given texts are short."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", text.normalised("text").alias("t"), text.normalised(F.substring("text", 1, 200)).alias("h"))
+    """The head of a text is its first 6,000 characters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", text.normalised("text").alias("t"), text.normalised(F.substring("text", 1, 6000)).alias("h"))
     found = decisions.signals(F.col("text"), F.col("t"), F.col("h"), FINANCIERS, THEMES, OFF_TOPIC)
     return d.select("doc_id", *[F.array_join(c, ",").alias(name) for name, c in found.items()])
 

@@ -52,3 +52,19 @@ def test_limits_in_the_order_of_a_report(spark):
     got = [tuple(r) for r in judgements.limit_lines(variables, scores, notes, alerts).orderBy("place").collect()]
     assert got == [(1, "not_concluded", 1, 2), (3, "confidence", 39, 2), (4, "unscored", 1, 2), (5, "undocumented", 1, 2), (6, "pending", 2, 3), (7, "unqualified", 1, 3)]
     assert judgements.limit_lines(*[x.limit(0) for x in (variables, scores, notes, alerts)]).collect() == []
+
+
+def test_layers_statuses_names_and_messages(spark):
+    steps = spark.createDataFrame([(1, "b", "done", 1), (1, "b", "skipped", 2), (1, "c", "skipped", 1), (1, "c", "done", 2), (3, "other", "skipped", 1)], "run int, step string, status string, seq int")
+    runs = spark.createDataFrame([(1,), (2,), (3,)], "run int")
+    assert {r.run: (r.b, r.c) for r in judgements.layers_available(runs, steps, ["b", "c"]).collect()} == {1: (False, True), 2: (True, True), 3: (True, True)}
+    statuses = spark.createDataFrame([("conforme",), ("integre_decision_humaine",), ("autre",), (None,)], "s string")
+    assert [r.e for r in statuses.select(judgements.index_eligible(F.col("s")).alias("e")).collect()] == [True, True, False, False]
+    countries = spark.createDataFrame([("BO", "Bolivia, Plurinational State of", "Bolivia"), ("KE", "Kenya", None), ("ET", "Ethiopia", None)], "code string, name string, common string")
+    translations = spark.createDataFrame([("fr", "Ethiopia", "Éthiopie"), ("fr", "Kenya", "Kenya"), ("es", "Kenya", "Kenia")], "locale string, name string, translated string")
+    codes = spark.createDataFrame([("bo",), ("KE",), ("et",), ("xx",), (None,)], "code string")
+    names = lambda locale: {r.code: r.name for r in judgements.country_names(codes, countries, translations, locale).collect()}
+    assert names("fr") == {"bo": "Bolivia", "KE": "Kenya", "et": "Éthiopie", "xx": None, None: None} and names("es")["KE"] == "Kenia"
+    alerts = spark.createDataFrame([("A", "Eau", None, 62.5, None, 7.0, 0.385), ("B", "Sol", "Durée", 61.5, 0.96, None, 0.5), ("C", "x", "y", 1.0, 1.0, 1.0, 1.0)], "rule string, pillar string, criterion string, score double, note double, delta double, confidence double")
+    templates = spark.createDataFrame([("en", "A", "{pillar}{criterion}: {score} (+{delta}, {confidence}%)"), ("fr", "B", "{pillar} {criterion} {note}/3 {score}{delta}"), ("en", "B", "no")], "locale string, rule string, template string")
+    assert {r.rule: r.message for r in judgements.default_messages(alerts, templates, "fr").collect()} == {"A": "Eau: 62 (+7, 38%)", "B": "Sol Durée 1.0/3 62"}

@@ -37,3 +37,8 @@ def test_client_keys(spark):
     df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip string")
     got = [r.k for r in df.select("i", text.client_key(F.col("ip")).alias("k")).orderBy("i").collect()]
     assert dict(zip(ips, got, strict=True)) == {ip: key(ip) for ip in ips}
+
+
+def test_folded(spark):
+    rows = [("  Straße \n ﬁn\u00ad al ", "strasse fin al"), ("ΣΊΣΥΦΟΣ", "σίσυφοσ"), ("", ""), (None, None), ("x² e\u0301", "x2 é")]
+    assert [r[0] for r in spark.createDataFrame([(a,) for a, _ in rows], "t string").select(text.folded("t")).collect()] == [b for _, b in rows]

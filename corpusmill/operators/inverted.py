@@ -44,6 +44,8 @@ class Cells:
 
     def first(self, q: np.ndarray, k: int) -> np.ndarray:
         """Which cells each query searches first."""
+        if len(self.rows) == 1:
+            return np.ones((len(q), 1), dtype=bool)
         order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
         held = np.cumsum(self.rows[order], axis=1)
         enough = (held - self.rows[order] < FIRST_TIMES * k) | (np.arange(len(self.rows)) < FIRST_CELLS)
@@ -53,6 +55,8 @@ class Cells:
 
     def within(self, q: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """Which cells may hold a vector at least as similar as the mark."""
+        if len(self.rows) == 1:
+            return np.ones((len(q), 1), dtype=bool)
         most = q @ self.centroids.T + np.linalg.norm(q, axis=1)[:, None] * self.radius
         return (most >= mark[:, None] - SLACK) & (self.rows > 0)
 
@@ -60,9 +64,8 @@ class Cells:
 def fitted(segments: DataFrame, total: int, cell_rows: int = CELL_ROWS) -> Cells:
     """Centroids by Lloyd's rounds over a sample, then each cell's radius and number of rows over all segments."""
     n = max(1, min(MAX_CELLS, total // cell_rows))
-    if n == 1:
-        size = len(segments.select("vector").first()[0])
-        return Cells(np.zeros((1, size)), np.array([np.inf]), np.array([total]))
+    if n == 1:  # every query searches the one cell
+        return Cells(np.zeros((1, 0)), np.array([np.inf]), np.array([total]))
     wanted = SAMPLE_ROWS * n
     rows = segments.where(F.pmod(F.xxhash64("segment_id"), F.lit(max(1, total // (2 * wanted)))) == 0)
     size = len(rows.select("vector").first()[0])
@@ -184,10 +187,13 @@ class Inverted:
                     total += choose(_matrix(part.column(1)), part).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
 
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", F.xxhash64("query_id").alias("hash"), *others)
-        found = asked.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         of_queries, of_rows = np.zeros(len(cells.rows), np.int64), -(-cells.rows // block)
-        of_queries[found["cell"].to_numpy()] = -(-found["n"].to_numpy() // block)
+        if len(cells.rows) == 1:
+            of_queries[0] = -(-queries.count() // block)
+        else:
+            asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", F.xxhash64("query_id").alias("hash"), *others)
+            found = asked.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            of_queries[found["cell"].to_numpy()] = -(-found["n"].to_numpy() // block)
         own = lambda x, _: np.arange(len(cells.rows)) == cells.of(x)[:, None]
         left = _dealt(queries, "query_id", others, choose, of_queries, of_rows, "qb", "sb")
         right = _dealt(self.segments, "segment_id", ["document_id"], own, of_rows, of_queries, "sb", "qb")

@@ -25,7 +25,10 @@ def diversified_nearest(queries: DataFrame, segments: DataFrame, rules: Rules =
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "segment_id"))
     chosen = kept(diversified(pairs.withColumn("rank", rank), rules), "diversified")
     # Up to place top_k ranks among the candidates are those among all; later ones are counted.
-    later = index.ranks(queries, chosen.where(F.col("rank") > rules.top_k)).withColumnRenamed("rank", "_rank")
+    beyond = chosen.where(F.col("rank") > rules.top_k)
+    if not beyond.take(1):
+        return chosen
+    later = index.ranks(queries, beyond).withColumnRenamed("rank", "_rank")
     return chosen.join(later, ["query_id", "segment_id"], "left").withColumn("rank", F.coalesce("_rank", "rank").cast("int")).drop("_rank")
 
 

@@ -19,18 +19,21 @@ def squeezed(c: Column | str) -> Column:
 
 
 @cache
-def _decomposed() -> tuple[str, str, dict[str, str]]:
+def _decomposed(apart: bool) -> tuple[str, str, dict[str, str]]:
     """From the compatibility decompositions of all characters beyond ASCII: those that leave one ASCII character, these
-    characters, and what the others leave that leave several."""
-    one, to, several = [], [], {}
+    characters, and what the others leave that leave several. What isn't ASCII vanishes; where it parts words, all but marks
+    is a space, and marks are characters that leave nothing (at the end of the first text)."""
+    one, to, several, marks = [], [], {}, []
     for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
-        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-        if len(left) == 1:
+        left = "".join(x if x.isascii() else " " if apart and not unicodedata.combining(x) else "" for x in unicodedata.normalize("NFKD", c))
+        if len(left) == 1 and not (apart and left == " "):
             one.append(c)
             to.append(left)
-        elif left:
+        elif left.strip():
             several[c] = left
-    return "".join(one), "".join(to), several
+        elif apart and not left:
+            marks.append(c)
+    return "".join(one + marks), "".join(to), several
 
 
 def _ranges(chars: Iterable[str]) -> str:
@@ -44,15 +47,15 @@ def _ranges(chars: Iterable[str]) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
-def to_ascii(c: Column | str) -> Column:
-    """Compatibility decompositions without marks, in ASCII; characters that leave nothing vanish."""
+def to_ascii(c: Column | str, apart: bool = False) -> Column:
+    """Compatibility decompositions without marks, in ASCII; what isn't ASCII then vanishes, or parts words as a space."""
     c = F.col(c) if isinstance(c, str) else c
-    one, to, several = _decomposed()
+    one, to, several = _decomposed(apart)
     # Characters that leave several are looked up one by one, in texts that have such only.
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], x)), "")
     whole = F.when(c.rlike(_ranges(several)), spelled).otherwise(c)
-    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(whole, one, to), "[^\\x00-\\x7f]", "")).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(whole, one, to), "[^\\x00-\\x7f]", " " if apart else "")).otherwise(c)
 
 
 #: Fixed value: a page number at either end of a line.
@@ -112,8 +115,8 @@ def references(c: Column | str) -> Column:
 
 
 def token_set(c: Column | str) -> Column:
-    """Distinct words of letters and digits of more than two characters, without marks."""
-    words = F.split(normalised(c), " ")
+    """Distinct words of letters and digits of more than two characters, without marks; letters that don't decompose part words."""
+    words = F.split(F.regexp_replace(F.lower(to_ascii(c, apart=True)), "[^a-z0-9]+", " "), " ")
     return F.array_distinct(F.filter(words, lambda x: F.length(x) > 2))
 
 

@@ -1,4 +1,5 @@
 import ipaddress
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ def test_normalised_as_all_decompositions(spark):
     want = [" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).split()) for t in texts]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.normalised("t").alias("n"), text.token_set("t").alias("s")).orderBy("i").collect()
     assert [r.n for r in got] == want and want[0] == "ceska odz fin x2 stefan"
+    for t, r in zip(texts, got, strict=True):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        assert set(r.s) == {w for w in re.findall("[a-z0-9]+", bare) if len(w) > 2}
     assert set(got[0].s) == {"ceska", "odz", "fin", "stefan"}
 
 

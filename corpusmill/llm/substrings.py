@@ -1,10 +1,13 @@
 """Fuzzy repeated passages by collinear chaining: shared k-mer seeds are joined, ordered matches are chained with gap
 costs in a sweep over the document, and chains are aligned word by word.
 
-Seeds are all runs of K words, and of every PICK runs of LONG words in a row the one of the least hash, so that MIN_WORDS
-words in a row hold such a seed, whose first document has most of them. Every place of a seed meets the first place in the
-smallest doc_id that has it, so that no group makes all its pairs, and the first document of a passage keeps it. Every
-chain is aligned, also one of a single seed.
+Seeds are all runs of K words, a share of the runs of three words, any one, and three more (for texts where every few
+words one is another), and of every PICK runs of LONG words in a row the one of the least hash, so that MIN_WORDS words in a
+row hold such a seed. Every place of a seed that at most FEW documents have meets the first place in each of smaller doc_id.
+Of a seed that more have, it meets the first in the smallest doc_id alone, so that no large group makes all its pairs, and
+goes on with the next such seed of its document as a seed of two, then of three and so on, until few documents have the
+whole row or it is as long as a passage. Places that a chain has settled don't go on: their passage is one of its first
+document's. Every chain is aligned, also one of a single seed.
 """
 
 from __future__ import annotations
@@ -19,19 +22,27 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.jaccard import MARK_BITS, _mark, _marks_of
 from corpusmill.llm.shared import partitions, saved, settled, tidy, unused
-from corpusmill.llm.words import _Q, SPACED, chunks, mix, shingles, utf8, words
+from corpusmill.llm.words import _Q, SPACED, Words, chunks, mix, shingles, utf8, words
 
 #: Seeds are runs of K words and picked runs of LONG words: LONG + PICK - 1 is MIN_WORDS.
-K, LONG, PICK, KEY_BYTES = 5, 45, 6, 5
+K, LONG, PICK, KEY_BYTES = 4, 40, 11, 5
+#: Words of a seed around one that may differ, and the share of such seeds that is taken (one in SPARSE, by hash).
+AROUND, SPARSE = (0, 1, 2, 4, 5, 6), 3
+#: All documents of a seed meet if it has at most so many.
+FEW = 8
+#: Chains are aligned in so many jobs, which bounds the disk that the words beside them take.
+SHARES = 2
 #: A passage has at least so many words, of which so large a share matches.
 MIN_WORDS, IDENTITY = 50, 0.75
-GAP_COST, MAX_GAP, MARGIN = 0.05, 40, 64
+GAP_COST, MAX_GAP, MARGIN, CELL = 0.05, 40, 64, 32
+#: Alignments drift at most so many words from a chain's end on, and a chain of this identity is settled before it is aligned.
+DRIFT, SETTLED = 16, 0.9
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 PASSAGE = "doc_id long, start_word int, end_word int, ref_doc_id long, ref_start int, ref_end int, identity double"
 
 
-def _keys(h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(kind, key, text, place) of each text's runs of K words, and of its picked runs of LONG words."""
+def _keys(h: np.ndarray, bounds: np.ndarray, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, key, text, place) of each text's runs of K words, of its picked runs of LONG words, and of its seeds around a word."""
     size = np.diff(bounds)
     text = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(h)) - bounds[text]
@@ -46,6 +57,14 @@ def _keys(h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             least = np.argmin([key[q : n - PICK + 1 + q] for q in range(PICK)], axis=0) + np.arange(n - PICK + 1)
             picked[least[place[: len(least)] + LONG + PICK - 1 - K < size[text[: len(least)]]]] = True
         yield 1, key[picked], text[:n][picked], place[:n][picked]
+    n = len(w.hash) - AROUND[-1]
+    if n > 0:
+        key = mix(sum((w.hash[q : q + n] * _Q[q + 16] for q in AROUND), np.zeros(n, np.uint64)))
+        size = np.diff(w.first)
+        text = np.repeat(np.arange(len(size)), size)[:n]
+        place = np.arange(n) - w.first[text]
+        picked = (key % np.uint64(SPARSE) == 0) & (place + AROUND[-1] < size[text])
+        yield 2, key[picked], text[picked], place[picked]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -81,14 +100,14 @@ def _seeds(buckets: int):
                     h = h[np.repeat(~short, size)]
                     bounds = np.append(0, np.cumsum(np.where(short, 0, size)))
                 rows = []
-                for kind, key, text, place in _keys(h, bounds):
+                for kind, key, text, place in _keys(h, bounds, w):
                     if not len(key):
                         continue
                     bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
                     order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
                     cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
                     low = np.ascontiguousarray(key.astype("<u8")[order]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-                    text, place = text[order], (place[order] << 1 | kind).astype("<i4")
+                    text, place = text[order], (place[order] << 2 | kind).astype("<i4")
                     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                         at = np.flatnonzero(np.append(True, np.diff(text[a:b]) != 0))
                         steps = np.diff(place[a:b], prepend=place[a : a + 1])
@@ -101,9 +120,28 @@ def _seeds(buckets: int):
     return run
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every place of a seed in a document (twice the place, plus the kind) with the first place of the smallest doc_id that
-    has it. A partition is sorted by bucket; one bucket is held at a time."""
+def _pairs(group: np.ndarray, doc: np.ndarray, size: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, its partner, whether the group has more than FEW documents) as indices of places sorted by group and doc. A group's
+    places are told by its number; partners are the first places of smaller documents, or of the smallest one alone."""
+    new = np.append(True, (np.diff(group) != 0) | (np.diff(doc) != 0))
+    starts = np.flatnonzero(new)  # first places of a document in a group
+    own = np.cumsum(new) - 1
+    heads = np.flatnonzero(np.append(True, np.diff(group[starts]) != 0))
+    docs = np.diff(np.append(heads, len(starts)))
+    head, many = np.repeat(heads, docs)[own], np.repeat(docs > FEW, docs)[own]
+    n = np.where(many, np.minimum(own - head, 1), own - head)
+    kept = np.flatnonzero(n)
+    for x in range(0, len(kept), size):
+        y = kept[x : x + size]
+        at = np.repeat(y, n[y])
+        step = np.arange(len(at)) - np.repeat(np.cumsum(n[y]) - n[y], n[y])
+        yield at, starts[head[at] + step], many[at]
+
+
+def _anchors(buckets: int):
+    """Every place of a seed in a document (eight times the place, plus four if many documents have it, plus the kind) with its
+    partners, as rows (bucket of documents, docs, places, refs, places there). A partition is sorted by bucket of seeds; one
+    bucket is held at a time."""
 
     def met(rows: list) -> Iterator[pa.RecordBatch]:
         raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, KEY_BYTES)
@@ -119,26 +157,67 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [_numbers(r[3], "<i4") for r in rows]
         doc = np.concatenate([np.repeat(np.cumsum(_numbers(r[2], "<i8")), c) for r, c in zip(rows, counts, strict=True)])[order]
         place = np.concatenate([_places(r[4], c) for r, c in zip(rows, counts, strict=True)])[order]
-        key = key[order]
-        order = np.lexsort((place, doc, place & 1, key))
+        key = key[order] << np.uint64(2) | (place & 3).astype(np.uint64)
+        order = np.lexsort((place, doc, key))
         key, doc, place = key[order], doc[order], place[order]
-        at = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(place & 1) != 0)))
-        first = np.repeat(at, np.diff(np.append(at, len(key))))
-        kept = np.flatnonzero(doc != doc[first])
-        for x in range(0, len(kept), 100_000):
-            y = kept[x : x + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[y].astype(np.int64)), pa.array(place[y].astype(np.int32)), pa.array(doc[first[y]].astype(np.int64)), pa.array((place[first[y]] >> 1).astype(np.int32))], names=["doc", "pos", "ref", "ref_pos"])
-
+        # Where a seed follows itself again and again, one place in CELL words is left: alignments reach over the others.
+        near = (np.diff(key) == 0) & (np.diff(doc) == 0) & (np.diff(place) < CELL << 2)
+        inner = np.append(False, near & (np.diff((place >> 2) // CELL) == 0)) & np.append(near, False)
+        key, doc, place = key[~inner], doc[~inner], place[~inner]
+        for at, other, many in _pairs(key, doc):
+            code = place[at] >> 2 << 3 | many.astype(np.int32) << 2 | place[at] & 3
+            bucket = (mix(doc[at].astype(np.uint64)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            order = np.lexsort((doc[at], bucket))
+            at, other, code, bucket = at[order], other[order], code[order], bucket[order].astype(np.int32)
+            cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist()
+            cols = (doc[at].astype("<i8"), code.astype("<i4"), doc[other].astype("<i8"), (place[other] >> 2).astype("<i4"))
+            parts = [(bucket[x], _planes(np.diff(cols[0][x:y], prepend=np.int64(0))), *(_planes(c[x:y]) for c in cols[1:])) for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "doc", "pos", "ref", "ref_pos"])
+
+    return lambda batches: (out for rows in _by_bucket(batches) for out in met(rows))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, the first column; a partition is sorted by it."""
     held: list = []
     for batch in batches:
         # A batch has many buckets: its rows are taken one by one, not copied as a whole.
         for row in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
             if held and held[0][0] != row[0]:
-                yield from met(held)
+                yield held
                 held = []
             held.append(row)
     if held:
-        yield from met(held)
+        yield held
+
+
+def _row_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for rows of seeds (key, doc, pos, next), whose first seed is at pos and whose second one at next. A partition is
+    sorted by key, doc and pos; the last key of a batch is held for the next batch."""
+
+    def met(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at, other, many in _pairs(m[0], m[1]):
+            cols = (m[1, at], m[2, at] << 3 | many.astype(np.int64) << 2, m[1, other], m[2, other], m[3, at], m[3, other])
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, _ROW_KINDS, strict=True)], names=_ROW_NAMES)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "pos", "next")])
+        if held and held[-1][0, -1] == m[0, 0] == m[0, -1]:
+            held.append(m)
+            continue
+        m = np.concatenate([*held, m], axis=1)
+        cut = int(np.searchsorted(m[0], m[0, -1]))
+        held = [m[:, cut:]]
+        if cut:
+            yield from met(m[:, :cut])
+    if held:
+        yield from met(np.concatenate(held, axis=1))
+
+
+_ROW_NAMES, _ROW_KINDS = ["doc", "pos", "ref", "ref_pos", "next", "ref_next"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
 
 def chains(found: np.ndarray) -> list[np.ndarray]:
@@ -172,13 +251,20 @@ def chains(found: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _chains_of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The chains of whole documents' matches (doc, twice the place plus the kind, ref, place there), sorted by doc. Runs are found for
-    all pairs of documents at once; only pairs of several runs are chained one by one."""
-    short, long = np.flatnonzero((m[1] & 1) == 0), np.flatnonzero(m[1] & 1)
-    part = np.arange(0, LONG, K)  # a long seed is as many of K words as it holds
-    d = np.append(m[1, short] >> 1, ((m[1, long] >> 1)[:, None] + part).ravel())
-    doc, ref, r = (np.append(x[short], (x[long][:, None] + y).ravel()) for x, y in ((m[0], 0 * part), (m[2], 0 * part), (m[3], part)))
+_CHAIN = "doc long, ref long, runs array<int>, d0 int, d1 int, r0 int, r1 int, key long"
+_CHAIN_NAMES = ["doc", "ref", "runs", "d0", "d1", "r0", "r1", "key"]
+_CHAIN_KINDS = (pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int32()] * 4, pa.int64())
+
+
+def _chains_of(m: np.ndarray, least: int, identity: float) -> Iterator[pa.RecordBatch]:
+    """The chains of whole documents' matches (doc, pos of _anchors, ref, place there, and for rows of seeds both next places), sorted
+    by doc, with a null key; and the longer rows of seeds that many documents have: their key, doc, place (d0) and next place (d1).
+    Runs are found for all pairs of documents at once; only pairs of several runs are chained one by one."""
+    parts = [(0, (0,)), (1, range(0, LONG, K)), (2, (0, AROUND[-1] + 1 - K))]  # units of K words
+    units = [(m[0, x], (m[1, x] >> 3) + q, m[2, x], m[3, x] + q) for kind, steps in parts for x in [np.flatnonzero((m[1] & 3) == kind)] for q in steps]
+    if len(m) > 4:
+        units.append((m[0], m[4], m[2], m[5]))
+    doc, d, ref, r = (np.concatenate(c) for c in zip(*units, strict=True))
     order = np.lexsort((d, d - r, ref, doc))
     doc, ref, d, r = doc[order], ref[order], d[order], r[order]
     pair = np.append(True, (np.diff(doc) != 0) | (np.diff(ref) != 0))
@@ -186,38 +272,101 @@ def _chains_of(m: np.ndarray) -> Iterator[pa.RecordBatch]:
     found = np.column_stack([d[at], r[at], d[np.append(at[1:], len(d)) - 1] - d[at] + K])
     doc, ref, low = doc[at], ref[at], np.flatnonzero(pair[at])
     high = np.append(low[1:], len(at))
-    names, kinds = ["doc", "ref", "runs", "d0", "d1", "r0", "r1"], (pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int32()] * 4)
     alone = low[high - low == 1]
     for x in range(0, len(alone), 50_000):
         y = alone[x : x + 50_000]
         f = found[y].astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * 3), pa.array(f.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(ref[y]), flat, *[pa.array(c) for c in (f[:, 0], f[:, 0] + f[:, 2], f[:, 1], f[:, 1] + f[:, 2])]], names=names)
-    rows = []
+        yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(ref[y]), flat, *[pa.array(c) for c in (f[:, 0], f[:, 0] + f[:, 2], f[:, 1], f[:, 1] + f[:, 2])], pa.nulls(len(y), pa.int64())], names=_CHAIN_NAMES)
+    long = alone[found[alone, 2] >= least]
+    settled_spans = [(doc[long], found[long, 0], found[long, 0] + found[long, 2])]
+    rows, spans = [], []
     for i, j in zip(low.tolist(), high.tolist(), strict=True):
         if j - i > 1:
-            rows += [(int(doc[i]), int(ref[i]), c.ravel().tolist(), int(c[0, 0]), int((c[:, 0] + c[:, 2]).max()), int(c[0, 1]), int((c[:, 1] + c[:, 2]).max())) for c in chains(found[i:j])]
+            for c in chains(found[i:j]):
+                d0, d1, r0, r1 = int(c[0, 0]), int((c[:, 0] + c[:, 2]).max()), int(c[0, 1]), int((c[:, 1] + c[:, 2]).max())
+                rows.append((int(doc[i]), int(ref[i]), c.ravel().tolist(), d0, d1, r0, r1, None))
+                if d1 - d0 >= least and c[:, 2].sum() >= max(SETTLED, identity) * max(d1 - d0, r1 - r0):
+                    spans.append((int(doc[i]), d0, d1))
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CHAIN_KINDS, strict=True)], names=_CHAIN_NAMES)
+    if spans:
+        settled_spans.append(tuple(np.array(c) for c in zip(*spans, strict=True)))
+    yield from _longer(m, *(np.concatenate(c) for c in zip(*settled_spans, strict=True)))
+
+
+def _longer(m: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each seed, or row of seeds, that many documents have with the next one of its document; not where one of the spans (doc,
+    from low to high) has both."""
+    m = m[:, (m[1] & 7) == 4]
+    if not m.shape[1]:
+        return
+    docs, own = np.unique(m[0], return_inverse=True)
+    order = np.lexsort((m[1], own))
+    m, own = m[:, order], own[order]
+    place = m[1] >> 3
+    at = own << 32 | place
+    if len(m) > 4:
+        after = np.searchsorted(at, own << 32 | m[4])
+        ident = m[3] << 32 | m[5]
+    else:
+        after = np.searchsorted(at, at + K)
+        ident = m[3]
+    ident = mix(mix(ident.view(np.uint64) + _Q[40]) + m[2].view(np.uint64) * _Q[41])
+    after, there = np.minimum(after, len(at) - 1), after < len(at)
+    step = place[after] - place
+    there &= (own[after] == own) & (step >= K) & (step <= K + MAX_GAP)
+    if len(m) > 4:
+        there &= place[after] == m[4]
+    x = np.searchsorted(docs, doc)
+    kept = (x < len(docs)) & (docs[np.minimum(x, len(docs) - 1)] == doc)
+    x, low, high = x[kept], low[kept], high[kept]
+    if len(x):  # the furthest end of a span that begins at or before a place
+        order = np.lexsort((low, x))
+        start, end = (x << 32 | low)[order], np.maximum.accumulate((x << 32 | high)[order])
+        k = np.searchsorted(start, at, side="right") - 1
+        there &= (k < 0) | (end[np.maximum(k, 0)] < (own << 32 | place[after] + K))
+    y = np.flatnonzero(there)
+    key = mix(ident[y] * _Q[42] + mix(ident[after[y]] + _Q[43])).view(np.int64)
+    for x in range(0, len(y), 100_000):
+        z = y[x : x + 100_000]
+        none = pa.nulls(len(z), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(m[0, z]), pa.nulls(len(z), pa.int64()), pa.nulls(len(z), pa.list_(pa.int32())), pa.array(place[z].astype(np.int32)), pa.array(place[after[z]].astype(np.int32)), none, none, pa.array(key[x : x + 100_000])], names=_CHAIN_NAMES)
+
+
+def _chained(least: int, identity: float):
+    """Chains of each document. One bucket of documents is held at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            doc = np.concatenate([np.cumsum(_numbers(r[1], "<i8")) for r in rows])
+            m = np.stack([doc, *(np.concatenate([_numbers(r[c], k) for r in rows]).astype(np.int64) for c, k in ((2, "<i4"), (3, "<i8"), (4, "<i4")))])
+            yield from _chains_of(m, least, identity)
+
+    return run
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each document of a partition sorted by doc; only the last document of a batch is held for the next."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "pos", "ref", "ref_pos")])
-        if held and held[-1][0, -1] == m[0, 0] == m[0, -1]:
-            held.append(m)
-            continue
-        m = np.concatenate([*held, m], axis=1)
-        cut = int(np.searchsorted(m[0], m[0, -1]))
-        held = [m[:, cut:]]
-        if cut:
-            yield from _chains_of(m[:, :cut])
-    if held:
-        yield from _chains_of(np.concatenate(held, axis=1))
+
+def _row_chained(least: int, identity: float):
+    """Chains by rows of seeds of each document of a partition sorted by doc; only the last document of a batch is held for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if held and held[-1][0, -1] == m[0, 0] == m[0, -1]:
+                held.append(m)
+                continue
+            m = np.concatenate([*held, m], axis=1)
+            cut = int(np.searchsorted(m[0], m[0, -1]))
+            held = [m[:, cut:]]
+            if cut:
+                yield from _chains_of(m[:, :cut], least, identity)
+        if held:
+            yield from _chains_of(np.concatenate(held, axis=1), least, identity)
+
+    return run
 
 
 def _extend(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int, int]:
@@ -272,24 +421,134 @@ def align(own: list, other: list, chain: list[tuple[int, int, int]]) -> tuple[in
     return start, i, ref_start, j, matched / max(1, i - start, j - ref_start)
 
 
+def _beside(flat: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: int, step: int, none: int) -> np.ndarray:
+    """The n words from place at on (down, if step is -1) of each list (low to high in flat); none beyond its ends."""
+    x = at[:, None] + step * np.arange(n)
+    inside = (x >= low[:, None]) & (x < high[:, None])
+    out = flat[np.clip(x, 0, max(0, len(flat) - 1))].astype(np.int64) if len(flat) else np.zeros(x.shape, np.int64)
+    out[~inside] = none
+    return out
+
+
+_NONE, _NO_OTHER = 1 << 40, 1 << 41  # words are 32 bits
+
+
+def _grown(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of words and each number of own words: the most that match the other row's in order within DRIFT, and
+    how many more of the other row's words that takes (less, if negative)."""
+    n, width = own.shape
+    best = np.zeros((n, 2 * DRIFT + 1), np.int16)
+    best[:, :DRIFT] = -999
+    padded = np.concatenate([np.full((n, DRIFT), _NO_OTHER), other, np.full((n, DRIFT), _NO_OTHER)], axis=1)
+    cost = np.maximum(0, np.arange(-DRIFT, DRIFT + 1))
+    matched, drift = np.zeros((n, width + 1), np.int64), np.zeros((n, width + 1), np.int64)
+    for i in range(1, width + 1):
+        now = best + (padded[:, i - 1 : i + 2 * DRIFT] == own[:, i - 1 : i])
+        np.maximum(now[:, :-1], best[:, 1:], out=now[:, :-1])
+        best = np.maximum.accumulate(now, axis=1)
+        at = np.argmax(4 * best - 3 * cost, axis=1)
+        matched[:, i], drift[:, i] = best[np.arange(n), at], at - DRIFT
+    return matched, drift
+
+
+def _dense(own: list, other: list, chain: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, other start, other end, matches) of the parts of a chain that are densest in matches, best first: gaps can make
+    a chain of parts that are passages and others that aren't. Places are in the lists."""
+    if not chain:
+        return
+    parts, d_end, r_end = [], chain[0][0], chain[0][1]
+    for d, r, n in chain:
+        skip = max(0, d_end - d, r_end - r)
+        if skip >= n:
+            continue
+        d, r, n = d + skip, r + skip, n - skip
+        gap = max(d - d_end, r - r_end)
+        inside = _common(own[d_end:d], other[r_end:r])
+        parts.append((d, r, n, gap, inside, sum(x == y for x, y in zip(own[d : d + n], other[r : r + n], strict=False))))
+        d_end, r_end = d + n, r + n
+    todo = [(0, len(parts))]
+    while todo:
+        i, j = todo.pop()
+        if i >= j:
+            continue
+        top, span, total, start = -np.inf, (i, i), 0, i
+        for k in range(i, j):
+            n, gap, inside, same = parts[k][2:]
+            total += inside - 3 * (gap - inside) if k > start else 0
+            if total < 0 or k == start:
+                total, start = 0, k
+            total += same - 3 * (n - same)
+            if total > top:
+                top, span = total, (start, k)
+        x, y = span
+        yield parts[x][0], parts[y][0] + parts[y][2], parts[x][1], parts[y][1] + parts[y][2], sum(p[5] for p in parts[x : y + 1]) + sum(p[4] for p in parts[x + 1 : y + 1])
+        todo += [(i, x), (y + 1, j)]
+
+
+def _widest(d: int, r: int, matches: int, left: tuple, right: tuple, least: int, identity: float) -> tuple[int, int, int, int, float] | None:
+    """The best (words to the left, right, other words to the left, right, identity) of an alignment around d own and r other
+    words that is long and alike enough. It begins and ends with a match."""
+    a, b = (np.flatnonzero(np.append(True, np.diff(m) > 0)) for m, _ in (left, right))
+    c, e = a + left[1][a], b + right[1][b]
+    same = matches + left[0][a][:, None] + right[0][b]
+    own = a[:, None] + b + d
+    size = np.maximum(own, c[:, None] + e + r)
+    fit = (own >= least) & (same >= identity * size)
+    if not fit.any():
+        return None
+    x, y = np.unravel_index(np.argmax(np.where(fit, 3 * same - 2 * size, -(1 << 40))), fit.shape)
+    return int(a[x]), int(b[y]), int(c[x]), int(e[y]), float(same[x, y] / size[x, y])
+
+
 def _aligned(least: int, identity: float):
-    """Alignments of all chains. Words are made to lists a slice at a time, which is far faster than whole columns."""
+    """Alignments of all chains that could be long and alike enough by the words beside them. Words are made to lists a slice at a time,
+    which is far faster than whole columns. A chain whose quick alignment fails is aligned by a dynamic program, part by part."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
     names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "identity"]
+    need = identity * least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            docs, refs, d_lows, r_lows = (batch.column(c).to_numpy().tolist() for c in ("doc", "ref", "d_low", "r_low"))
-            flat, own, other = ((c.values.to_numpy(), c.offsets.to_numpy().tolist()) for c in (batch.column(x) for x in ("runs", "own", "other")))
-            part = lambda c, x: c[0][c[1][x] : c[1][x + 1]].tolist()
-            for x in range(batch.num_rows):
-                f, d_low, r_low = part(flat, x), d_lows[x], r_lows[x]
-                a, b, c, e, same = align(part(own, x), part(other, x), [(f[y] - d_low, f[y + 1] - r_low, f[y + 2]) for y in range(0, len(f), 3)])
-                if b - a >= least and same >= identity:
-                    rows.append((docs[x], a + d_low, b + d_low, refs[x], c + r_low, e + r_low, same))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows_of(whole.slice(start, 4_000)), strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+
+    def rows_of(batch: pa.RecordBatch) -> list[tuple]:
+        rows = []
+        docs, refs, d_low, r_low, d0, d1, r0, r1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "ref", "d_low", "r_low", "d0", "d1", "r0", "r1"))
+        flat, own, other = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(x) for x in ("runs", "own", "other")))
+
+        def beside(which: np.ndarray, d: np.ndarray, r: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+            """Own and other words beside places of the documents."""
+            return tuple(_beside(w[0], w[1][which], w[1][which + 1], w[1][which] + p - low[which], MARGIN, step, none) for w, p, low, none in ((own, d, d_low, _NONE), (other, r, r_low, _NO_OTHER)))
+
+        every = np.arange(batch.num_rows)
+        most = np.minimum(d1 - d0, r1 - r0)
+        for d, r, step in ((d0 - 1, r0 - 1, -1), (d1, r1, 1)):
+            short = every[most < need]
+            a, b = beside(short, d[short], r[short], step)
+            b = np.concatenate([np.full((len(b), DRIFT), _NO_OTHER), b, np.full((len(b), DRIFT), _NO_OTHER)], axis=1)
+            some = np.zeros(a.shape, bool)
+            for q in range(2 * DRIFT + 1):
+                some |= a == b[:, q : q + MARGIN]
+            most[short] += some.sum(axis=1)
+        part = lambda c, x: c[0][c[1][x] : c[1][x + 1]].tolist()
+        again = []
+        for x in np.flatnonzero(most >= need).tolist():
+            f, low, ref_low = part(flat, x), int(d_low[x]), int(r_low[x])
+            mine, their, chain = part(own, x), part(other, x), [(f[y] - low, f[y + 1] - ref_low, f[y + 2]) for y in range(0, len(f), 3)]
+            a, b, c, e, same = align(mine, their, chain)
+            if b - a >= least and same >= identity:
+                rows.append((int(docs[x]), a + low, b + low, int(refs[x]), c + ref_low, e + ref_low, same))
+            else:
+                again += [(x, a + low, b + low, c + ref_low, e + ref_low, n) for a, b, c, e, n in _dense(mine, their, chain)]
+        for i in range(0, len(again), 1_000):
+            x, a, b, c, e, n = (np.array(v, np.int64) for v in zip(*again[i : i + 1_000], strict=True))
+            left, right = _grown(*beside(x, a - 1, c - 1, -1)), _grown(*beside(x, b, e, 1))
+            for k in np.flatnonzero(n + left[0][:, -1] + right[0][:, -1] >= need).tolist():
+                wide = _widest(int(b[k] - a[k]), int(e[k] - c[k]), int(n[k]), (left[0][k], left[1][k]), (right[0][k], right[1][k]), least, identity)
+                if wide:
+                    rows.append((int(docs[x[k]]), int(a[k]) - wide[0], int(b[k]) + wide[1], int(refs[x[k]]), int(c[k]) - wide[2], int(e[k]) + wide[3], wide[4]))
+        return rows
 
     return run
 
@@ -319,8 +578,19 @@ def passages(documents: DataFrame, least: int = MIN_WORDS, identity: float = IDE
     docs = documents.select("doc_id", "text").where("doc_id is not null")
     n = partitions(spark)
     seeds = docs.mapInArrow(tidy(_seeds(4 * n)), "bucket int, keys binary, docs binary, counts binary, places binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    anchors = seeds.mapInArrow(tidy(_anchors), "doc long, pos int, ref long, ref_pos int")
-    found = saved(anchors.repartition(partitions(spark), "doc").sortWithinPartitions("doc").mapInArrow(tidy(_chained), "doc long, ref long, runs array<int>, d0 int, d1 int, r0 int, r1 int"), "passages-chains")
+    anchors = seeds.mapInArrow(tidy(_anchors(4 * n)), "bucket int, doc binary, pos binary, ref binary, ref_pos binary")
+    level = saved(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_chained(least, identity)), _CHAIN), "passages-chains")
+    found = level.where("key is null")
+    for _ in range(2, least // K + 1):
+        longer = level.where("key is not null").selectExpr("key", "doc", "d0 pos", "d1 next")
+        rows = longer.count()
+        if not rows:
+            break
+        n = min(partitions(spark), 1 + rows // 50_000)
+        longer = longer.repartition(n, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(tidy(_row_anchors), "doc long, pos int, ref long, ref_pos int, next int, ref_next int")
+        level = saved(longer.repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(tidy(_row_chained(least, identity)), _CHAIN), "passages-chains")
+        found = found.union(level.where("key is null"))
+    found = found.drop("key")
     needed = found.select(F.col("doc").alias("doc_id")).union(found.select("ref")).distinct()
     marks = np.zeros(MARK_BITS, bool)
     for batch in needed.mapInArrow(tidy(_marks_of), "at long").distinct().toArrow().to_batches():
@@ -329,9 +599,15 @@ def passages(documents: DataFrame, least: int = MIN_WORDS, identity: float = IDE
     low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     cut = lambda c, a, b: F.slice(c, F.col(a) + 1, F.col(b) - F.col(a) + MARGIN)
     placed = found.withColumns({"d_low": low("d0"), "r_low": low("r0")})
-    placed = placed.join(texts.withColumnRenamed("doc_id", "ref"), "ref").withColumn("other", cut("words", "r_low", "r1")).drop("words")
-    placed = placed.join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", cut("words", "d_low", "d1"))
-    return placed.select("doc", "ref", "runs", "d_low", "r_low", "own", "other").mapInArrow(tidy(_aligned(least, identity)), PASSAGE).dropDuplicates()  # chains of one passage grow to the same alignment
+    out = None
+    for x in range(SHARES):  # the words beside all chains are several times the texts
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)) == x  # noqa: B023, E731
+        some = placed.where(own("doc")).join(texts.withColumnRenamed("doc_id", "ref"), "ref").withColumn("other", cut("words", "r_low", "r1")).drop("words")
+        some = some.join(texts.where(own("doc_id")).withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", cut("words", "d_low", "d1"))
+        some = some.select("doc", "ref", "runs", "d_low", "r_low", "d0", "d1", "r0", "r1", "own", "other").mapInArrow(tidy(_aligned(least, identity)), PASSAGE)
+        some = saved(some.dropDuplicates(), "passages-aligned")  # chains of one passage grow to the same alignment
+        out = out.union(some) if out else some
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

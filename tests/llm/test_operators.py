@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -258,6 +260,69 @@ def test_passages_edited(spark):
     assert all(any(b - a >= 50 for a, b in got[100 + d, d]) for d in range(40))
 
 
+def edited(words, at, name):
+    return [f"{name}{k}" if k in at else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("step", [4, 5, 6])
+def test_passages_edited_at_a_step(spark, step):
+    """Every fourth word is another one: 75 % match, in runs of three."""
+    rows = {}
+    for d in range(40):
+        p = fresh(f"p{d}-", 61)
+        rows[d] = " ".join(p)
+        rows[100 + d] = " ".join(fresh(f"x{d}-", 20) + edited(p, range(1, 60, step), f"e{d}-") + fresh(f"y{d}-", 20))
+    got = spans_of(spark, rows)
+    assert sum(any(b - a >= 50 for a, b in got[100 + d, d]) for d in range(40)) >= (38 if step == 4 else 40)
+
+
+@pytest.mark.parametrize("share", [0.95, 0.9, 0.85, 0.8, 0.77])
+def test_passages_edited_at_random(spark, share):
+    rng, rows, size = random.Random(round(share * 100)), {}, 60
+    for d in range(100):
+        p = fresh(f"p{d}-", size)
+        rows[d] = " ".join(fresh(f"v{d}-", 9) + p)
+        at = rng.sample(range(1, size - 1), size - math.ceil(share * size))
+        rows[1000 + d] = " ".join(fresh(f"x{d}-", 20) + edited(p, at, f"e{d}-") + fresh(f"y{d}-", 20))
+    got = spans_of(spark, rows)
+    assert sum(any(b - a >= 50 for a, b in got[1000 + d, d]) for d in range(100)) >= 99
+
+
+@pytest.mark.parametrize("older", [1, 12])
+def test_passages_of_lines_that_older_documents_have(spark, older):
+    """Two documents share 60 words of which six are replaced; so many older ones have each of the equal lines."""
+    p = fresh("p", 60)
+    rows = {100: fresh("a", 20) + p, 101: fresh("b", 25) + edited(p, range(9, 60, 10), "e") + fresh("z", 9)}
+    rows |= {older * k + d: fresh(f"o{k}-{d}-", 9) + p[10 * k : 10 * k + 9] + fresh(f"u{k}-{d}-", 9) for k in range(6) for d in range(older)}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[101, 100], 25, 84)
+
+
+def test_passages_between_later_holders(spark):
+    """Twelve older documents have four lines of a passage, twelve others the next four: two later ones share all eight."""
+    lines = [fresh(f"l{i}-", 7) for i in range(8)]
+    apart = lambda name, some: [w for i, x in enumerate(some) for w in (*x, f"{name}-{i}")]
+    rows = {d: fresh(f"a{d}-", 9) + apart(f"g{d}", lines[:4] if d < 12 else lines[4:]) + fresh(f"b{d}-", 9) for d in range(24)}
+    rows |= {d: fresh(f"a{d}-", 20) + apart(f"g{d}", lines) for d in (30, 31)}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[31, 30], 20, 83)
+
+
+def test_passages_with_a_stray_line_after(spark):
+    """A passage whose chain goes on, over a gap, to a short line."""
+    p, line = fresh("p", 52), fresh("l", 6)
+    rows = {1: fresh("a", 9) + p + fresh("b", 38) + line, 2: fresh("c", 9) + edited(p, range(5, 50, 10), "e") + fresh("d", 38) + line}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert covers(got[2, 1], 9, 61)
+
+
+def test_passages_of_one_word(spark):
+    """A word said again and again is covered whole, by few passages."""
+    rows = {1: fresh("a", 9) + ["x"] * 300, 2: fresh("b", 9) + ["x"] * 400 + fresh("c", 9)}
+    got = spans_of(spark, {d: " ".join(w) for d, w in rows.items()})
+    assert {k for a, b in got[2, 1] for k in range(a, b)} == set(range(9, 409)) and len(got[2, 1]) < 40
+
+
 def test_chains_against_plain():
     import numpy as np
 

@@ -32,6 +32,8 @@ AROUND, SPARSE = (0, 1, 2, 4, 5, 6), 3
 FEW = 8
 #: Chains are aligned in so many jobs, which bounds the disk that the words beside them take.
 SHARES = 2
+#: A task packs so many anchors at once.
+HELD = 500_000
 #: A passage has at least so many words, of which so large a share matches.
 MIN_WORDS, IDENTITY = 50, 0.75
 GAP_COST, MAX_GAP, MARGIN, CELL = 0.05, 40, 64, 32
@@ -120,9 +122,10 @@ def _seeds(buckets: int):
     return run
 
 
-def _pairs(group: np.ndarray, doc: np.ndarray, size: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(group: np.ndarray, doc: np.ndarray, size: int = 300_000, left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, its partner, whether the group has more than FEW documents) as indices of places sorted by group and doc. A group's
-    places are told by its number; partners are the first places of smaller documents, or of the smallest one alone."""
+    places are told by its number; partners are the first places of smaller documents, or of the smallest one alone. Places left out
+    are partners only."""
     new = np.append(True, (np.diff(group) != 0) | (np.diff(doc) != 0))
     starts = np.flatnonzero(new)  # first places of a document in a group
     own = np.cumsum(new) - 1
@@ -130,6 +133,8 @@ def _pairs(group: np.ndarray, doc: np.ndarray, size: int = 300_000) -> Iterator[
     docs = np.diff(np.append(heads, len(starts)))
     head, many = np.repeat(heads, docs)[own], np.repeat(docs > FEW, docs)[own]
     n = np.where(many, np.minimum(own - head, 1), own - head)
+    if left is not None:
+        n[left] = 0
     kept = np.flatnonzero(n)
     for x in range(0, len(kept), size):
         y = kept[x : x + size]
@@ -138,12 +143,26 @@ def _pairs(group: np.ndarray, doc: np.ndarray, size: int = 300_000) -> Iterator[
         yield at, starts[head[at] + step], many[at]
 
 
-def _anchors(buckets: int):
+def _follows(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(step, words, inside) of places sorted by key, doc and place: where a seed of K words follows itself at one step of at most K
+    words again and again, that step, the words from the place to the run's end, and whether the run has begun before the place. Step and
+    first seed tell all words of a run."""
+    step = np.where((np.diff(key) == 0) & (np.diff(doc) == 0) & (np.diff(place) <= K), np.diff(place), 0)
+    step = np.append(step, 0)
+    cuts = np.flatnonzero(np.append(np.diff(step) != 0, True))  # the last place of each stretch of equal steps
+    last = cuts[np.searchsorted(cuts, np.arange(len(step)))] + (step > 0)
+    return step, place[last] + K - place, np.append(False, (step[1:] == step[:-1]) & (step[1:] > 0))
+
+
+def _anchors(buckets: int, least: int):
     """Every place of a seed in a document (eight times the place, plus four if many documents have it, plus the kind) with its
     partners, as rows (bucket of documents, docs, places, refs, places there). A partition is sorted by bucket of seeds; one
-    bucket is held at a time."""
+    bucket is held at a time, and up to HELD anchors, so that a task makes few rows whatever the number of buckets.
 
-    def met(rows: list) -> Iterator[pa.RecordBatch]:
+    Inside a run of one seed that is as long as a passage, a place meets the earlier documents that have such a run, if any do, in place
+    of all that have the seed, and doesn't go on as a row of seeds: that would repeat the run, row by row."""
+
+    def met(rows: list) -> Iterator[tuple[np.ndarray, ...]]:
         raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, KEY_BYTES)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :KEY_BYTES] = raw
@@ -160,21 +179,47 @@ def _anchors(buckets: int):
         key = key[order] << np.uint64(2) | (place & 3).astype(np.uint64)
         order = np.lexsort((place, doc, key))
         key, doc, place = key[order], doc[order], place[order]
+        step, words, inside = _follows(key, doc, place >> 2)
         # Where a seed follows itself again and again, one place in CELL words is left: alignments reach over the others.
         near = (np.diff(key) == 0) & (np.diff(doc) == 0) & (np.diff(place) < CELL << 2)
         inner = np.append(False, near & (np.diff((place >> 2) // CELL) == 0)) & np.append(near, False)
-        key, doc, place = key[~inner], doc[~inner], place[~inner]
-        for at, other, many in _pairs(key, doc):
-            code = place[at] >> 2 << 3 | many.astype(np.int32) << 2 | place[at] & 3
-            bucket = (mix(doc[at].astype(np.uint64)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-            order = np.lexsort((doc[at], bucket))
-            at, other, code, bucket = at[order], other[order], code[order], bucket[order].astype(np.int32)
-            cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist()
-            cols = (doc[at].astype("<i8"), code.astype("<i4"), doc[other].astype("<i8"), (place[other] >> 2).astype("<i4"))
-            parts = [(bucket[x], _planes(np.diff(cols[0][x:y], prepend=np.int64(0))), *(_planes(c[x:y]) for c in cols[1:])) for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "doc", "pos", "ref", "ref_pos"])
+        long = (words >= least) & (place & 3 == 0) & (step > 0)
+        inner &= ~(long & (words - step < least))  # a run's last words that are as long as a passage
+        key, doc, place, step, words, inside, long = (c[~inner] for c in (key, doc, place, step, words, inside, long))
+        run = np.flatnonzero(long)
+        again = np.zeros(len(key), bool)
+        if len(run):
+            long = key[run] << np.uint64(3) | step[run].astype(np.uint64)
+            order = np.lexsort((place[run], doc[run], long))
+            run, long = run[order], long[order]
+            for x, y, _ in _pairs(long, doc[run]):
+                at, other = run[x], run[y]
+                again[at] = True
+                yield doc[at], place[at] >> 2 << 3 | place[at] & 3, doc[other], place[other] >> 2
+        for at, other, many in _pairs(key, doc, left=again & inside):
+            yield doc[at], place[at] >> 2 << 3 | many.astype(np.int32) << 2 | place[at] & 3, doc[other], place[other] >> 2
+
+    def packed(held: list) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        bucket = ((mix(cols[0].astype(np.uint64)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+        order = np.lexsort((cols[0], bucket))
+        bucket = bucket[order]
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist()
+        cols = [c[order].astype(k) for c, k in zip(cols, ("<i8", "<i4", "<i8", "<i4"), strict=True)]
+        parts = [(bucket[x], _planes(np.diff(cols[0][x:y], prepend=np.int64(0))), *(_planes(c[x:y]) for c in cols[1:])) for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "doc", "pos", "ref", "ref_pos"])
 
-    return lambda batches: (out for rows in _by_bucket(batches) for out in met(rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for part in (part for rows in _by_bucket(batches) for part in met(rows)):
+            held.append(part)
+            if sum(len(p[0]) for p in held) >= HELD:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return run
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -421,11 +466,11 @@ def align(own: list, other: list, chain: list[tuple[int, int, int]]) -> tuple[in
     return start, i, ref_start, j, matched / max(1, i - start, j - ref_start)
 
 
-def _beside(flat: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: int, step: int, none: int) -> np.ndarray:
+def _beside(flat: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: int, step: int, none: int, kind: type = np.int64) -> np.ndarray:
     """The n words from place at on (down, if step is -1) of each list (low to high in flat); none beyond its ends."""
     x = at[:, None] + step * np.arange(n)
     inside = (x >= low[:, None]) & (x < high[:, None])
-    out = flat[np.clip(x, 0, max(0, len(flat) - 1))].astype(np.int64) if len(flat) else np.zeros(x.shape, np.int64)
+    out = flat[np.clip(x, 0, max(0, len(flat) - 1))].astype(kind) if len(flat) else np.zeros(x.shape, kind)
     out[~inside] = none
     return out
 
@@ -500,9 +545,45 @@ def _widest(d: int, r: int, matches: int, left: tuple, right: tuple, least: int,
     return int(a[x]), int(b[y]), int(c[x]), int(e[y]), float(same[x, y] / size[x, y])
 
 
+def _likely(least: int, identity: float):
+    """Chains that could be long and alike enough by 16 bits of the words beside them: equal words have equal bits, so that none
+    that could be is lost. A chain of one run is one if some words to its left and right, of which those count that the other
+    document has within DRIFT, make it so; others if all such words do."""
+    reach = np.arange(MARGIN + 1)
+
+    def fits(batch: pa.RecordBatch) -> np.ndarray:
+        d_low, r_low, d0, d1, r0, r1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("d_low", "r_low", "d0", "d1", "r0", "r1"))
+        own, other = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(x) for x in ("own", "other")))
+        counted = []
+        for d, r, step in ((d0 - 1, r0 - 1, -1), (d1, r1, 1)):
+            a, b = (_beside(flat, at[:-1], at[1:], at[:-1] + p - low, MARGIN, step, none, np.int32) for (flat, at), p, low, none in ((own, d, d_low, 1 << 20), (other, r, r_low, 1 << 21)))
+            beyond = np.full((len(b), DRIFT), 1 << 21, np.int32)
+            b = np.concatenate([beyond, b, beyond], axis=1)
+            some = np.zeros(a.shape, bool)
+            for q in range(2 * DRIFT + 1):
+                some |= a == b[:, q : q + MARGIN]
+            counted.append(np.append(np.zeros((len(a), 1)), np.cumsum(some, axis=1), axis=1))
+        n = np.minimum(d1 - d0, r1 - r0)
+        loose = n + counted[0][:, -1] + counted[1][:, -1] >= identity * least
+        left, right = (c - identity * reach for c in counted)
+        right = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # the best of so many words or more
+        short = np.clip(least - (d1 - d0)[:, None] - reach, 0, MARGIN + 1)
+        best = left + np.take_along_axis(np.append(right, np.full((len(n), 1), -np.inf), axis=1), short, axis=1)
+        alone = batch.column("runs").value_lengths().to_numpy() == 3
+        return loose & (~alone | (n + best.max(axis=1) >= identity * (d1 - d0) - 1e-6))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4_000):
+                batch = whole.slice(start, 4_000)
+                yield batch.select(_CHAIN_NAMES[:-1]).filter(pa.array(fits(batch)))
+
+    return run
+
+
 def _aligned(least: int, identity: float):
-    """Alignments of all chains that could be long and alike enough by the words beside them. Words are made to lists a slice at a time,
-    which is far faster than whole columns. A chain whose quick alignment fails is aligned by a dynamic program, part by part."""
+    """Alignments of chains with the words beside them. Words are made to lists a slice at a time, which is far faster than whole
+    columns. A chain whose quick alignment fails is aligned by a dynamic program, part by part."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
     names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "identity"]
     need = identity * least
@@ -514,26 +595,16 @@ def _aligned(least: int, identity: float):
 
     def rows_of(batch: pa.RecordBatch) -> list[tuple]:
         rows = []
-        docs, refs, d_low, r_low, d0, d1, r0, r1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "ref", "d_low", "r_low", "d0", "d1", "r0", "r1"))
+        docs, refs, d_low, r_low = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "ref", "d_low", "r_low"))
         flat, own, other = ((c.values.to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(x) for x in ("runs", "own", "other")))
 
         def beside(which: np.ndarray, d: np.ndarray, r: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
             """Own and other words beside places of the documents."""
             return tuple(_beside(w[0], w[1][which], w[1][which + 1], w[1][which] + p - low[which], MARGIN, step, none) for w, p, low, none in ((own, d, d_low, _NONE), (other, r, r_low, _NO_OTHER)))
 
-        every = np.arange(batch.num_rows)
-        most = np.minimum(d1 - d0, r1 - r0)
-        for d, r, step in ((d0 - 1, r0 - 1, -1), (d1, r1, 1)):
-            short = every[most < need]
-            a, b = beside(short, d[short], r[short], step)
-            b = np.concatenate([np.full((len(b), DRIFT), _NO_OTHER), b, np.full((len(b), DRIFT), _NO_OTHER)], axis=1)
-            some = np.zeros(a.shape, bool)
-            for q in range(2 * DRIFT + 1):
-                some |= a == b[:, q : q + MARGIN]
-            most[short] += some.sum(axis=1)
         part = lambda c, x: c[0][c[1][x] : c[1][x + 1]].tolist()
         again = []
-        for x in np.flatnonzero(most >= need).tolist():
+        for x in range(batch.num_rows):
             f, low, ref_low = part(flat, x), int(d_low[x]), int(r_low[x])
             mine, their, chain = part(own, x), part(other, x), [(f[y] - low, f[y + 1] - ref_low, f[y + 2]) for y in range(0, len(f), 3)]
             a, b, c, e, same = align(mine, their, chain)
@@ -553,19 +624,41 @@ def _aligned(least: int, identity: float):
     return run
 
 
-def _marked_words(marks_of):
+def _marked_words(marks_of, kind: type):
+    """The top bits of each word's hash, as many as kind has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marks_of.value[_mark(batch.column(0).to_numpy())]))
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 w = words(data, offsets, i, j, SPACED)
-                h = (mix(w.hash) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h = (mix(w.hash) >> np.uint64(64 - 8 * np.dtype(kind).itemsize)).astype(kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(h))], names=["doc_id", "words"])
 
     return run
 
 
+def _with_words(docs: DataFrame, found: DataFrame, kind: type) -> list[DataFrame]:
+    """The chains with the words that they span and MARGIN beside, own and other from d_low and r_low on, in SHARES parts."""
+    spark = docs.sparkSession
+    needed = found.select(F.col("doc").alias("doc_id")).union(found.select("ref")).distinct()
+    marks = np.zeros(MARK_BITS, bool)
+    for batch in needed.mapInArrow(tidy(_marks_of), "at long").distinct().toArrow().to_batches():
+        marks[batch.column(0).to_numpy()] = True
+    words_of = tidy(_marked_words(spark.sparkContext.broadcast(marks), kind))
+    texts = saved(docs.mapInArrow(words_of, f"doc_id long, words array<{'short' if kind is np.int16 else 'int'}>").dropDuplicates(["doc_id"]), "passages-words")
+    low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
+    cut = lambda c, a, b: F.slice(c, F.col(a) + 1, F.col(b) - F.col(a) + MARGIN)
+    placed, out = found.withColumns({"d_low": low("d0"), "r_low": low("r0")}), []
+    for x in range(SHARES):  # the words beside all chains are several times the texts
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)) == x  # noqa: B023, E731
+        some = placed.where(own("doc")).join(texts.withColumnRenamed("doc_id", "ref"), "ref").withColumn("other", cut("words", "r_low", "r1")).drop("words")
+        some = some.join(texts.where(own("doc_id")).withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", cut("words", "d_low", "d1"))
+        out.append(some.select("doc", "ref", "runs", "d0", "d1", "r0", "r1", "d_low", "r_low", "own", "other"))
+    return out
+
+
 def passages(documents: DataFrame, least: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages of at least least words that an earlier document (smaller doc_id) has too: doc_id, start_word, end_word
     (exclusive), the same of the earlier document, and the share of words that match.
@@ -578,7 +671,7 @@ def passages(documents: DataFrame, least: int = MIN_WORDS, identity: float = IDE
     docs = documents.select("doc_id", "text").where("doc_id is not null")
     n = partitions(spark)
     seeds = docs.mapInArrow(tidy(_seeds(4 * n)), "bucket int, keys binary, docs binary, counts binary, places binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    anchors = seeds.mapInArrow(tidy(_anchors(4 * n)), "bucket int, doc binary, pos binary, ref binary, ref_pos binary")
+    anchors = seeds.mapInArrow(tidy(_anchors(4 * n, least)), "bucket int, doc binary, pos binary, ref binary, ref_pos binary")
     level = saved(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_chained(least, identity)), _CHAIN), "passages-chains")
     found = level.where("key is null")
     for _ in range(2, least // K + 1):
@@ -591,21 +684,14 @@ def passages(documents: DataFrame, least: int = MIN_WORDS, identity: float = IDE
         level = saved(longer.repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(tidy(_row_chained(least, identity)), _CHAIN), "passages-chains")
         found = found.union(level.where("key is null"))
     found = found.drop("key")
-    needed = found.select(F.col("doc").alias("doc_id")).union(found.select("ref")).distinct()
-    marks = np.zeros(MARK_BITS, bool)
-    for batch in needed.mapInArrow(tidy(_marks_of), "at long").distinct().toArrow().to_batches():
-        marks[batch.column(0).to_numpy()] = True
-    texts = saved(docs.mapInArrow(tidy(_marked_words(spark.sparkContext.broadcast(marks))), "doc_id long, words array<int>").dropDuplicates(["doc_id"]), "passages-words")
-    low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
-    cut = lambda c, a, b: F.slice(c, F.col(a) + 1, F.col(b) - F.col(a) + MARGIN)
-    placed = found.withColumns({"d_low": low("d0"), "r_low": low("r0")})
+    # Most chains are a few words that two texts happen to share. Half of each word's bits tells most of them, so that few are shuffled with whole words.
+    short = F.least(F.expr("d1 - d0"), F.expr("r1 - r0")) < identity * least
+    kept = found.where(~short)
+    for some in _with_words(docs, found.where(short), np.int16):
+        kept = kept.union(saved(some.mapInArrow(tidy(_likely(least, identity)), found.schema), "passages-likely"))
     out = None
-    for x in range(SHARES):  # the words beside all chains are several times the texts
-        own = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)) == x  # noqa: B023, E731
-        some = placed.where(own("doc")).join(texts.withColumnRenamed("doc_id", "ref"), "ref").withColumn("other", cut("words", "r_low", "r1")).drop("words")
-        some = some.join(texts.where(own("doc_id")).withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", cut("words", "d_low", "d1"))
-        some = some.select("doc", "ref", "runs", "d_low", "r_low", "d0", "d1", "r0", "r1", "own", "other").mapInArrow(tidy(_aligned(least, identity)), PASSAGE)
-        some = saved(some.dropDuplicates(), "passages-aligned")  # chains of one passage grow to the same alignment
+    for some in _with_words(docs, kept, np.int32):
+        some = saved(some.mapInArrow(tidy(_aligned(least, identity)), PASSAGE).dropDuplicates(), "passages-aligned")  # chains of one passage grow to the same alignment
         out = out.union(some) if out else some
     return out
 

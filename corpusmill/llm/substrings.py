@@ -7,7 +7,8 @@ row hold such a seed. Every place of a seed that at most FEW documents have meet
 Of a seed that more have, it meets the first in the smallest doc_id alone, so that no large group makes all its pairs, and
 goes on with the next such seed of its document as a seed of two, then of three and so on, until few documents have the
 whole row or it is as long as a passage. Places that a chain has settled don't go on: their passage is one of its first
-document's. Every chain is aligned, also one of a single seed.
+document's; nor do places inside a long run of one seed that an earlier document has too. Every chain that can be a passage by
+half of each word's bits is aligned, also one of a single seed.
 """
 
 from __future__ import annotations

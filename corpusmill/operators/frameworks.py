@@ -36,9 +36,10 @@ def template(candidates: DataFrame, most: int = 8) -> DataFrame:
 
 
 def kept_translations(candidates: DataFrame, locales: list[str]) -> DataFrame:
-    """pillar, locale, name: the first translation (pillar, locale, pos, name) of each expected locale that has a name."""
+    """pillar, locale, name: the first translation (pillar, locale, pos, name) of each expected locale that has a name; of equal pos the smallest
+    name. pos is any value with an order, so that it can hold what parts equal numbers."""
     valid = candidates.where(F.col("locale").isin(locales) & (F.trim("name") != ""))
-    return valid.groupBy("pillar", "locale").agg(F.min_by("name", "pos").alias("name"))
+    return valid.groupBy("pillar", "locale").agg(F.min_by("name", F.struct("pos", "name")).alias("name"))
 
 
 def reused_translations(pillars: DataFrame, kept: DataFrame, references: DataFrame, official: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e
 p AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM g)
 SELECT l_suppkey, min(s) AS start, max(e) AS "end" FROM p GROUP BY l_suppkey, part""")
 def span_merge(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint") % 7).alias("end"))
+    s = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.rint("l_quantity").cast("bigint") % 7).alias("end"))  # rounded, halves to even, as the SQL's cast does
     return ordered.merged_spans(s, "l_suppkey")
 
 

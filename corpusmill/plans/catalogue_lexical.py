@@ -32,11 +32,12 @@ LEAST_LEXICAL = 0.05
 def _ranked(spark, sf_dir):
     e = segments(table(spark, sf_dir, "embeddings"))
     d = table(spark, sf_dir, "documents")
-    words = F.split(lexical.normalised("text"), " ")
-    texts = e.join(d.select(F.col("doc_id").alias("segment_id"), "text"), "segment_id").select("segment_id", "text")
+    texts = lexical.texts_of(e.select("segment_id"), d.select(F.col("doc_id").alias("segment_id"), "text"), "segment_id")
     asked = e.where("segment_id % 25 = 0").select(F.col("segment_id").alias("query_id"))
-    asked = asked.join(d.select((F.col("doc_id") - 1).alias("query_id"), F.array_join(F.slice(words, 3, 12), " ").alias("text")), "query_id")
-    return e, lexical.ranked(asked, kept(lexical.postings(texts), "postings"), 20)
+    asked = lexical.texts_of(asked, d.select((F.col("doc_id") - 1).alias("query_id"), "text"), "query_id")
+    # Written, since a filter on the words would go below the join and normalise every document.
+    asked = kept(asked.select("query_id", F.array_join(F.slice(F.split(lexical.normalised("text"), " "), 3, 12), " ").alias("text")), "asked")
+    return e, lexical.nearest_by_words(asked, texts, 20)
 
 
 def _retrieved(spark, sf_dir):

@@ -7,10 +7,10 @@ from functools import partial
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import assessment, decisions, ingestion, layer_a, retrieval
+from corpusmill.operators import assessment, decisions, ingestion, layer_a, retrieval, stated
 from corpusmill.operators.products import products
 from corpusmill.plans.catalogue import ORACLES, _LAYER_A, _layer_a, _nearest, query
-from corpusmill.sources.tables import kept, segments, table
+from corpusmill.sources.tables import segments, spread, table
 from corpusmill.streaming import counts
 
 _B = _LAYER_A + """, nn AS (SELECT q.vec_id AS query_id, s.segment_id, list_inner_product(s.v, CAST(q.embedding AS DOUBLE[])) AS similarity FROM seg s, embeddings q WHERE q.vec_id % 25 = 0 AND s.segment_id <> q.vec_id),
@@ -143,10 +143,7 @@ def _hybrid(spark, sf_dir):
     s = segments(table(spark, sf_dir, "embeddings"))
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     queries = s.join(b.select(F.col("item_id").alias("segment_id")).distinct(), "segment_id", "left_semi").select(F.col("segment_id").alias("query_id"), "vector")
-    words = lambda df, name: df.select(F.col(df.columns[0]).alias(name), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("w <> ''")
-    shared = words(d.select("doc_id", "text"), "segment_id").join(words(b.select("item_id", "text"), "query_id"), "w").groupBy("query_id", "segment_id").agg(F.count("*").alias("n"))
-    near = kept(products(s, queries, "query_id").select("query_id", "segment_id", F.col("similarity").alias("value")), "near")
-    both = retrieval.hybrid(near, kept(shared.withColumnRenamed("n", "value"), "shared"))
+    both = stated.hybrid(s, queries, spread(d.select(F.col("doc_id").alias("segment_id"), "text")), b.select(F.col("item_id").alias("query_id"), "text"))
     return both.select(F.col("query_id").alias("item_id"), F.col("segment_id").alias("doc_id"), "score", "place")
 
 

@@ -50,3 +50,12 @@ def test_quotes_are_compared_as_by_the_sql(spark, tmp_path):
     got = same(spark, tmp_path, "gold_quotes", documents=documents, benchmark=benchmark)
     assert len([r for r in got if r[1] == 1]) == 4 and (1.0, 21.0) not in got
     same(spark, tmp_path, "gold_hits", documents=documents, benchmark=benchmark)
+
+
+def test_languages_are_decided_as_by_the_sql(spark, tmp_path):
+    """Short samples between spaces of any kind, windows of unclear texts, repeated, null and empty rows, characters that vanish or leave several."""
+    fr, en = "le plan de l'eau et des communes rurales avec un suivi des ménages ", "the plan for water and rural communities with monitoring of households "
+    texts = [fr * 90, en * 90, fr * 200 + en * 120, "qqq zzz " * 900 + en * 200, " " * 5 + "le plan des eaux" + " " * 5, "le plan des eaux et", None, "", "ﬁn œuvre Ⅷ ① ½ été ́ naïve İstanbul K", "日本語" * 20, "a b c d e f g h i j k l m n o p", fr * 2, en * 3]
+    documents = pd.DataFrame({"doc_id": [*range(11), 0, 5], "lang": ["fr", "en"] + [None] * 11, "text": texts})
+    got = same(spark, tmp_path, "language_decision", documents=documents)
+    assert len(got) == 13

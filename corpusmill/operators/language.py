@@ -50,14 +50,19 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         x = table[np.minimum(coded(t), _TOP)] if not t.isascii() else None
         parts += [coded(t.translate(several) if x is not None and (x == _SEVERAL).any() else t), end]
     every = np.concatenate(parts)
-    x = table[np.where(every > _TOP + 1, _TOP, every)] if len(every) else np.zeros(0, np.int8)
+    beyond = every > _TOP + 1
+    x = table[np.where(beyond, np.uint32(_TOP), every) if beyond.any() else every]
     x = x[x != _GONE]
     # Spaces in a row are one, and none stands at the ends, which are a space themselves.
-    x = x[(x != 0) | (np.r_[_END, x[:-1]] % _END != 0)]
-    x = x[(x != 0) | (np.r_[x[1:], _END] != _END)]
-    at = np.flatnonzero(x[1:-1] != _END) + 1
-    no, x = np.cumsum(x == _END)[at] - 1, np.where(x == _END, 0, x).astype(np.int64)
-    return sum(x[at + k - 1] * len(LETTERS) ** (GRAM - 1 - k) for k in range(GRAM)), no
+    space, end = x == 0, x == _END
+    x = x[~(space & np.r_[True, (space | end)[:-1]])]
+    space, end = x == 0, x == _END
+    x = x[~(space & np.r_[end[1:], True])]
+    end = x == _END
+    inner, no = ~end[1:-1], np.cumsum(end)[1:-1] - 1
+    x = np.where(end, np.int8(0), x).astype(np.int32)
+    gram = sum(x[k : len(x) - GRAM + 1 + k] * len(LETTERS) ** (GRAM - 1 - k) for k in range(GRAM))
+    return gram[inner].astype(np.int64), no[inner]
 
 
 def _slices(sizes: list[int]) -> Iterator[slice]:
@@ -119,9 +124,12 @@ def _decided(shared, clear: float, id_type: pa.DataType):
         for part in _slices([len(t) for _, t in parts]):
             gram, no = grams([t for _, t in parts[part]])
             at = np.array([i for i, _ in parts[part]])[no]
-            some += np.bincount(at, known[gram], len(samples))
+            if not len(at):
+                continue
+            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            some[at[start]] += np.add.reduceat(known[gram], start)
             for j in range(len(langs)):
-                sums[:, j] += np.bincount(at, weights[j][gram], len(samples))
+                sums[at[start], j] += np.add.reduceat(weights[j][gram], start)
         if not len(langs):
             return [None] * len(samples)
         best = len(langs) - 1 - np.argmax(sums[:, ::-1], axis=1)  # of equals the last

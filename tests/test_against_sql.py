@@ -42,10 +42,10 @@ def test_quotes_are_compared_as_by_the_sql(spark, tmp_path):
     """Case, composed forms, white space and soft hyphens; compatibility forms and case foldings are other characters. Repeated rows repeat."""
     texts = [
         "Die Straße ist lang und breit", "Die STRASSE ist lang und breit", "die  Stra­ße\tist\nlang und breiter", "un eﬃcace plan de l'eau ici", "un efficace plan de l'eau ici",
-        "die Straße ist lang und breit", "café au lait du matin frais", "CAFÉ AU LAIT DU MATIN FRAIS", None, "", "ΟΔΟΣ α β γ δ ε", "la mer", "x la mer y",
+        "die Straße ist\u00a0lang und breit", "café au lait du matin frais", "CAFÉ AU LAIT DU MATIN FRAIS", None, "", "ΟΔΟΣ α β γ δ ε", "la mer", "x la mer y",
     ]
     documents = pd.DataFrame({"doc_id": [*range(13), 0, 1], "source": ["src1"] * 12 + ["src2"] + ["src1"] * 2, "text": [*texts, texts[0], texts[0]]})
-    quotes = ["Straße ist lang und breit", "un efficace plan de l'eau", "café au lait du matin", "οδοσ α β γ δ", " la mer ", None, "ist lang"]
+    quotes = ["Straße ist lang und breit", "un efficace plan de l'eau", "café au lait du matin", "οδοσ α β γ δ", "\u00a0la mer ", None, "ist lang"]
     benchmark = pd.DataFrame({"item_id": [20 * i + 1 for i in range(7)], "text": quotes})
     got = same(spark, tmp_path, "gold_quotes", documents=documents, benchmark=benchmark)
     assert len([r for r in got if r[1] == 1]) == 4 and (1.0, 21.0) not in got
@@ -55,7 +55,7 @@ def test_quotes_are_compared_as_by_the_sql(spark, tmp_path):
 def test_languages_are_decided_as_by_the_sql(spark, tmp_path):
     """Short samples between spaces of any kind, windows of unclear texts, repeated, null and empty rows, characters that vanish or leave several."""
     fr, en = "le plan de l'eau et des communes rurales avec un suivi des ménages ", "the plan for water and rural communities with monitoring of households "
-    texts = [fr * 90, en * 90, fr * 200 + en * 120, "qqq zzz " * 900 + en * 200, " " * 5 + "le plan des eaux" + " " * 5, "le plan des eaux et", None, "", "ﬁn œuvre Ⅷ ① ½ été ́ naïve İstanbul K", "日本語" * 20, "a b c d e f g h i j k l m n o p", fr * 2, en * 3]
+    texts = [fr * 90, en * 90, fr * 200 + en * 120, "qqq zzz " * 900 + en * 200, "\u00a0" * 5 + "le plan des eaux" + "\u00a0" * 5, "le plan des eaux et", None, "", "ﬁn œuvre Ⅷ ① ½ été ́ naïve İstanbul K", "日本語" * 20, "a b c d e f g h i j k l m n o p", fr * 2, en * 3]
     documents = pd.DataFrame({"doc_id": [*range(11), 0, 5], "lang": ["fr", "en"] + [None] * 11, "text": texts})
     got = same(spark, tmp_path, "language_decision", documents=documents)
     assert len(got) == 13
